@@ -24,36 +24,45 @@ TREES, DEPTH, BINS, SHRINK = 24, 3, 32, 0.3
 LASSO, LASSO_STEPS = 0.002, 600
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Named statistics of a whole text, all of them built-in expressions."""
-    t = F.coalesce(text, F.lit(""))
-    chars = F.length(t)
-    words = F.array_remove(F.split(t, r"\s+"), "")
-    n_words = F.size(words)
-
-    def left_after(pattern: str) -> Column:
-        return chars - F.length(F.regexp_replace(t, pattern, ""))
-
-    def per(top: Column, bottom: Column) -> Column:
-        return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0)).cast("double")
-
-    letters, upper = left_after(r"\p{L}+"), left_after(r"\p{Lu}+")
-    symbols = left_after(r"[^\p{L}\p{N}\s]+")
-    alone = F.size(F.split(t, r"\s[^\p{L}\p{N}\s]+(?=\s)")) - 1
-    return {
-        "log_words": F.log1p(n_words).cast("double"),
-        "mean_word": per(chars, n_words),
-        "letter_share": per(letters, chars),
-        "upper_share": per(upper, letters),
-        "symbol_share": per(symbols, chars),
-        "symbols_per_word": per(symbols, n_words),
-        "lone_symbols": per(alone, n_words),
-        "exclaims": per(left_after("!+"), n_words),
-        "stops": per(left_after(r"[.!?]+"), n_words),
-        "distinct_share": per(F.size(F.array_distinct(words)), n_words),
-        "distinct_root": per(F.size(F.array_distinct(words)), F.sqrt(n_words)),
-        "line_words": per(n_words, F.size(F.split(t, "\n", -1))),
-    }
+STATISTICS = ["log_words", "mean_word", "upper_share", "symbol_share", "symbols_per_word", "exclaims", "stops", "distinct_share", "distinct_root", "line_words"]
+
+
+def with_statistics(rows: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and the statistics of a whole text, all of them built-in expressions.
+
+    The text is scanned once for each counted class; ratios are formed in a second projection.
+    """
+    rows = rows.select(*keep, F.coalesce(text, F.lit("")).alias("__t"))
+    rows = rows.select(*keep, "__t", F.array_remove(F.split("__t", " "), "").alias("__words"))
+    counted = rows.select(
+        *keep,
+        F.length("__t").alias("chars"),
+        F.size("__words").alias("words"),
+        F.size(F.array_distinct("__words")).alias("kinds"),
+        F.regexp_count("__t", F.lit(r"\p{Lu}")).alias("upper"),
+        F.regexp_count("__t", F.lit(r"[^\p{L}\p{N}\s]")).alias("symbols"),
+        F.regexp_count("__t", F.lit(r"[.!?]")).alias("ends"),
+        (F.length("__t") - F.length(F.replace("__t", F.lit("!"), F.lit("")))).alias("bangs"),
+        F.size(F.split("__t", "\n", -1)).alias("lines"),
+    )
+
+    def per(top: str, bottom: Column) -> Column:
+        return F.when(bottom > 0, F.col(top) / bottom).otherwise(F.lit(0.0)).cast("double")
+
+    words, chars = F.col("words"), F.col("chars")
+    made = [
+        F.log1p(words).cast("double"),
+        per("chars", words),
+        per("upper", chars),
+        per("symbols", chars),
+        per("symbols", words),
+        per("bangs", words),
+        per("ends", words),
+        per("kinds", words),
+        per("kinds", F.sqrt(words)),
+        per("words", F.col("lines")),
+    ]
+    return counted.select(*keep, *[c.alias(n) for c, n in zip(made, STATISTICS)])
 
 
 @dataclass(frozen=True)
@@ -70,7 +79,7 @@ class RuleModel:
     rules: tuple[Rule, ...]
 
     def column(self) -> Column:
-        """The probability of label 1 as an expression over the columns of ``statistics``."""
+        """The probability of label 1 as an expression over the columns of ``with_statistics``."""
         z = F.lit(self.intercept)
         for rule in self.rules:
             test = F.lit(True)
@@ -166,14 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
         .limit(max_rows)
     )
-    stats = statistics(F.col("text"))
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")  # at most max_rows rows
-        .select("quality", "doc_id", *[c.alias(n) for n, c in stats.items()])
-        .collect()
-    )
-    names = list(stats)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows rows
+    rows = with_statistics(labelled, F.col("text"), ["quality", "doc_id"]).collect()
+    names = STATISTICS
     rows.sort(key=lambda r: tuple(r))
     values = np.array([[r[n] for n in names] for r in rows], dtype=float).reshape(len(rows), len(names))
     return fit_rules(values, np.array([r.quality for r in rows], dtype=float), names)
@@ -181,12 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
 
 def score_documents(docs: DataFrame, model: RuleModel) -> DataFrame:
     """``docs`` plus ``score``."""
-    stats = statistics(F.col("doc.text"))
+    packed = docs.select(F.struct("*").alias("__doc"))
     return (
-        docs.select(F.struct("*").alias("doc"))
-        .select("doc", *[c.alias(n) for n, c in stats.items()])
-        .select("doc", model.column().alias("__score"))
-        .select("doc.*", "__score")
+        with_statistics(packed, F.col("__doc.text"), ["__doc"])
+        .select("__doc", model.column().alias("__score"))
+        .select("__doc.*", "__score")
         .withColumn("score", F.col("__score"))
         .drop("__score")
     )
