@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB counterparts."""
 
-from . import language_id, line_dedup, quality_rules, sharding
+from . import language_id, line_dedup, packing, quality_rules, sharding
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_line_dedup": line_dedup.query,
     "op4_lpt_sharding": sharding.query,
+    "op8_vector_packing": packing.query,
     "op10_quality_rules": quality_rules.query,
 }
 
