@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB counterparts."""
 
-from . import decontaminate, language_id, line_dedup, packing, quality_rules, sharding
+from . import decontaminate, language_id, line_dedup, ngram_join, packing, quality_rules, sharding
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_line_dedup": line_dedup.query,
     "op4_lpt_sharding": sharding.query,
     "op5_decontamination": decontaminate.query,
+    "op7_ngram_join": ngram_join.query,
     "op8_vector_packing": packing.query,
     "op10_quality_rules": quality_rules.query,
 }
