@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB counterparts."""
 
-from . import decontaminate, language_id, line_dedup, media_ogg, ngram_join, packing, quality_rules, sharding, warc_index
+from . import decontaminate, language_id, line_dedup, media_ogg, ngram_join, packing, quality_rules, sharding, url_filter, warc_index
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_line_dedup": line_dedup.query,
+    "op3_url_filter": url_filter.query,
     "op4_lpt_sharding": sharding.query,
     "op5_decontamination": decontaminate.query,
     "op6_ogg_media": media_ogg.query,
