@@ -284,7 +284,11 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     )
     band_rows = nodes.filter(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band"))
     hubs = band_rows.groupBy("band").agg(F.min("node").alias("other"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n")
-    stars = band_rows.join(hubs, "band").filter(F.col("node") != F.col("other")).select("node", "other").distinct()
+    # a node keeps an edge to the smallest of its hubs (at most one for each band) and ties the other hubs to it:
+    # the same components from about one edge a node
+    own = band_rows.join(hubs, "band").filter(F.col("node") != F.col("other")).groupBy("node").agg(F.array_sort(F.collect_set("other")).alias("hubs"))
+    tied = F.concat(F.array("node"), F.slice("hubs", 2, bands))
+    stars = own.select(F.explode(tied).alias("node"), F.col("hubs")[0].alias("other")).distinct()
     groups = components(stars)
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", F.ceil(F.col("n") / block).cast("int").alias("n_blocks"))
     placed = workspace.written(
