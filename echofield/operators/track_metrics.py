@@ -128,3 +128,30 @@ def evaluate_tracks(predictions: DataFrame, truth: DataFrame, match_distance_m:
 def polar_to_cartesian(points: DataFrame) -> DataFrame:
     """x = r sin(theta), y = r cos(theta)."""
     return points.withColumns({"x": F.col("range_m") * F.sin("azimuth_rad"), "y": F.col("range_m") * F.cos("azimuth_rad")})
+
+
+def benchmark_trackers(points: DataFrame, truth: DataFrame, spec, clustering, match_distance_m: float) -> DataFrame:
+    """Both trackers against the truth, with all and with confirmed tracks: (strategy, tracks, measures...).
+
+    ``points`` has (capture_id, frame_id, point_idx, x, y, z, velocity, snr), ``truth`` the same keys.
+    """
+    from dataclasses import replace
+
+    from .clustering import cluster_points, summarize_clusters
+    from .tracking import track_clusters, track_points
+
+    keys = ("capture_id", "frame_id")
+    seen = points.filter(F.col("point_idx").isNotNull())
+    clusters = summarize_clusters(seen, cluster_points(seen, clustering, keys), keys)
+    # frames without a cluster still age the tracks
+    every = points.select(*keys).distinct().join(clusters, list(keys), "left")
+    plain = replace(spec, allocation=replace(spec.allocation, min_total_snr=None))
+    made = {"cluster": track_clusters(every, plain), "measurement": track_points(points, spec, clustering)}
+    out = None
+    for strategy, tracks in made.items():
+        for confirmed in (False, True):
+            row = evaluate_tracks(tracks, truth, match_distance_m, confirmed).select(
+                F.lit(strategy).alias("strategy"), F.lit("confirmed" if confirmed else "all").alias("tracks"), "*"
+            )
+            out = row if out is None else out.unionByName(row)
+    return out

@@ -119,3 +119,33 @@ def frame_delta(words: DataFrame, chunk: list[str], frame: str, index: str, word
     """``delta`` on one row per word: a lag over the frames of a chunk, modulo 2^16."""
     before = F.lag(word).over(Window.partitionBy(*chunk, index).orderBy(frame))
     return words.withColumn(out, F.pmod(F.col(word) - F.coalesce(before, F.lit(0)), F.lit(65536)))
+
+
+# --- chunked storage and its measurement
+
+
+def write_chunks(frames: DataFrame, path: str, codec: str, frame_bytes: int, chunk_frames: int = 4, level: int = 1) -> None:
+    """Frames (capture_id, frame_id, data) in chunks of consecutive frames, encoded, as a table sorted by frame."""
+    chunk = F.floor(F.col("frame_id") / chunk_frames).alias("chunk")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("frame_id", "data"))), lambda x: x["data"])
+    chunks = frames.groupBy("capture_id", chunk).agg(F.count(F.lit(1)).alias("n_frames"), F.unhex(F.array_join(F.transform(ordered, F.hex), "")).alias("data"))
+    transform_column(chunks, "data", "encode", codec, frame_bytes, level).sortWithinPartitions("capture_id", "chunk").write.parquet(path)
+
+
+def read_window(spark, path: str, codec: str, frame_bytes: int, capture_id, first: int, stop: int, chunk_frames: int = 4) -> DataFrame:
+    """(frame_id, data) of a window of frames; only its chunks are read and decoded."""
+    rows = spark.read.parquet(path).filter((F.col("capture_id") == capture_id) & F.col("chunk").between(first // chunk_frames, (stop - 1) // chunk_frames))
+    plain = transform_column(rows.select("chunk", "n_frames", "data"), "data", "decode", codec, frame_bytes)
+    parts = plain.select("chunk", "data", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_frames") - 1)).alias("i"))
+    out = parts.select((F.col("chunk") * chunk_frames + F.col("i")).alias("frame_id"), F.substring("data", F.col("i").cast("int") * frame_bytes + 1, F.lit(frame_bytes)).alias("data"))
+    return out.filter(F.col("frame_id").between(first, stop - 1))
+
+
+def window_starts(seed: int, windows: int, frames: int, length: int) -> list[int]:
+    """Reproducible random window starts."""
+    return np.random.default_rng(seed).integers(0, frames - length + 1, windows).tolist()
+
+
+def latency_report(times: DataFrame, by: tuple[str, ...] = ("codec",)) -> DataFrame:
+    """Median and 95th percentile of (by..., seconds)."""
+    return times.groupBy(*by).agg(F.percentile("seconds", F.lit(0.5)).alias("p50"), F.percentile("seconds", F.lit(0.95)).alias("p95"), F.count(F.lit(1)).alias("n"))

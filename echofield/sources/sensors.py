@@ -6,15 +6,16 @@
 from __future__ import annotations
 
 import struct
+from dataclasses import dataclass
 from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.intervals import map_interval, segment_of, unwrap_ticks
+from ..operators.intervals import assert_monotone, causal_pairs, map_interval, segment_of, unwrap_ticks
 from ..plans.contracts import require
-from .files import read_range, regular_size
+from .files import read_all, read_range, regular_size, sha256_of, strict_json
 
 # Fixed values of the format.
 HEADER, HEADER_BYTES = "<8sHHHHQQ", 32
@@ -85,3 +86,113 @@ def timeline(items: DataFrame, segments: DataFrame, wrap_ticks: int, semantics:
     ticked = items.withColumn("tick", unwrap_ticks(F.col("ticks"), F.col("wrap_count"), wrap_ticks))
     mapped = map_interval(segment_of(ticked, segments), semantics)
     return mapped.withColumn("id", F.col("item_index")).select(*items.columns, "id", "start_ns", "end_ns")
+
+
+# --- sessions
+
+
+@dataclass(frozen=True)
+class Session:
+    """A published session: ``session.json`` and a folder of artifacts for each complete source."""
+
+    path: str
+    record: dict
+
+    @property
+    def session_id(self) -> str:
+        return self.record["session_id"]
+
+    def source(self, source_id: str) -> dict:
+        found = [s for s in self.record["sources"] if s["source_id"] == source_id]
+        require(len(found) == 1, f"no source {source_id}")
+        return found[0]
+
+    def sources(self, spark: SparkSession) -> DataFrame:
+        rows = [(self.session_id, s["source_id"], s["kind"], s["required"], s["outcome"], s["item_count"], s["payload_bytes"], s["clock"]["wrap_ticks"], s["clock"]["timestamp_semantics"]) for s in self.record["sources"]]
+        return spark.createDataFrame(rows, "session_id string, source_id string, kind string, required boolean, outcome string, item_count bigint, payload_bytes bigint, wrap_ticks bigint, semantics string")
+
+    def segments(self, spark: SparkSession) -> DataFrame:
+        names = ("start_unwrapped_tick", "end_unwrapped_tick", "source_origin_tick", "host_origin_ns", "scale_num", "scale_den", "uncertainty_ns")
+        rows = [(s["source_id"], *[Decimal(a[n]) for n in names]) for s in self.record["sources"] for a in s["affine_segments"]]
+        wide = "decimal(20,0)"
+        columns = ("start_tick", "end_tick", *names[2:])
+        return spark.createDataFrame(rows, ", ".join(["source_id string", *[f"{c} {wide}" for c in columns]]))
+
+    def events(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(Decimal(e["sync_event_id"]),) for e in self.record["sync_events"]], "sync_event_id decimal(20,0)")
+
+    def items(self, spark: SparkSession, source_id: str, payload: bool = False) -> DataFrame:
+        """The source's index, with payloads only if wanted; a source that is not complete has none."""
+        s = self.source(source_id)
+        if s["outcome"] != "complete":
+            return spark.createDataFrame([], ITEMS + (", payload binary" if payload else ""))
+        folder = f"{self.path}/{source_id}"
+        return read_items(spark, f"{folder}/index.bin", source_id, f"{folder}/{s['payload']['filename']}" if payload else None)
+
+    def timeline(self, spark: SparkSession, source_id: str, payload: bool = False) -> DataFrame:
+        clock = self.source(source_id)["clock"]
+        semantics = "instant" if clock["timestamp_semantics"] == "delivery_observed" else clock["timestamp_semantics"]
+        return timeline(self.items(spark, source_id, payload), self.segments(spark), clock["wrap_ticks"], semantics)
+
+    def causal_pairs(self, spark: SparkSession, earlier: str, later: str, lag_min_ns: int, lag_max_ns: int, bucket_ns: int) -> DataFrame:
+        """(earlier_id, later_id) item numbers of two distinct, complete sources."""
+        require(earlier != later, "two distinct sources are needed")
+        for s in (earlier, later):
+            require(self.source(s)["outcome"] == "complete", f"{s} is not complete")
+        sides = []
+        for s in (earlier, later):
+            rows = self.timeline(spark, s).select("id", F.col("start_ns").cast("bigint").alias("start_ns"), F.col("end_ns").cast("bigint").alias("end_ns"))
+            sides.append(assert_monotone(rows, [], "id"))
+        return causal_pairs(*sides, lag_min_ns, lag_max_ns, bucket_ns)
+
+    def revalidate(self) -> None:
+        check_session(self.path, self.record)
+
+
+TOTALS = {
+    "source_count": lambda s: len(s),
+    "required_source_count": lambda s: sum(x["required"] for x in s),
+    "complete_source_count": lambda s: sum(x["outcome"] == "complete" for x in s),
+    "item_count": lambda s: sum(x["item_count"] for x in s),
+    "payload_bytes": lambda s: sum(x["payload_bytes"] for x in s),
+}
+
+
+def check_session(path: str, record: dict) -> None:
+    """Sizes and digests of all artifacts of complete sources."""
+    for s in record["sources"]:
+        for a in s["artifacts"] if s["outcome"] == "complete" else []:
+            name = f"{path}/{s['source_id']}/{a['path']}"
+            require(regular_size(name) == a["size_bytes"], f"{a['path']} has another size")
+            require(sha256_of(name) == a["sha256"], f"{a['path']} has another digest")
+
+
+def open_session(path: str, schema: str | None = None, with_artifacts: bool = True) -> Session:
+    """Open a session directory; without artifacts only ``session.json`` is read and checked."""
+    path = path.rstrip("/")
+    record = strict_json(read_all(f"{path}/session.json", 1 << 20))
+    require(schema is None or record.get("schema") == schema, "the session has another schema")
+    sources = record["sources"]
+    ids = [s["source_id"] for s in sources]
+    require(bool(ids) and len(set(ids)) == len(ids), "sources must be unique")
+    clocks = [record["host_clock"]["clock_id"], *[s["clock"]["clock_id"] for s in sources]]
+    require(len(set(clocks)) == len(clocks), "clocks must be unique")
+    host = record["host_clock"]
+    require(host["tick_hz"] == 10**9 and host["wrap_ticks"] == 0, "the host clock counts nanoseconds")
+    for s in sources:
+        require(s["kind"] in ("radar", "camera") and s["outcome"] in ("complete", "failed", "omitted"), "unknown kind or outcome")
+        require(not s["required"] or s["outcome"] == "complete", "a required source is not complete")
+        require((s["item_count"] == 0) == (s["payload_bytes"] == 0), "items and bytes contradict each other")
+        require(s["item_count"] <= s["limits"]["max_items"] and s["payload_bytes"] <= s["limits"]["max_payload_bytes"], "a source beyond its limits")
+    events = [e["sync_event_id"] for e in record["sync_events"]]
+    require(events == sorted(set(events)), "events must be unique and increasing")
+    for name, total in TOTALS.items():
+        require(record["totals"][name] == total(sources), f"{name} contradicts the sources")
+    if with_artifacts:
+        check_session(path, record)
+    return Session(path, record)
+
+
+def radar_items_with_frames(items: DataFrame, frames: DataFrame) -> DataFrame:
+    """Radar items joined with the frames of their nested capture, by item number."""
+    return items.join(frames.withColumnRenamed("frame_id", "item_index"), "item_index")
