@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 DIMS = 4096
 SLICE = 1 << 20
 PER_LANG, CLUSTERS = 600, 3
+#: Hash draws are whole numbers below this.
+SCALE = 1 << 40
 
 
 def gram_counts(raw: bytes) -> np.ndarray:
@@ -114,8 +116,14 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, k: int = CLUSTERS) -> Centr
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     df, n = document_frequencies(docs)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    keyed = docs.select("lang", "doc_id", "text", F.row_number().over(order).alias("rank"))
+    # a hash threshold leaves about twice the wanted rows of each language, whatever the input's size;
+    # only these few are ranked
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    cutoff = sizes.select("lang", F.least(F.lit(float(SCALE)), F.lit(2.0 * SCALE * per_lang) / F.col("n")).alias("cutoff"))
+    draw = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(SCALE))
+    drawn = docs.withColumn("draw", draw).join(F.broadcast(cutoff), "lang").filter(F.col("draw") <= F.col("cutoff"))
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
+    keyed = drawn.select("lang", "doc_id", "text", F.row_number().over(order).alias("rank"))
     chosen = keyed.filter(F.col("rank") <= per_lang).drop("rank")
 
     def vectors(batches):
