@@ -131,9 +131,10 @@ def test_codec_damage():
             codecs.decode(bad, "shuffle-zlib", 64)
     with pytest.raises(ValueError):
         codecs.decode(b"", "adaptive-shuffle-zlib", 64)
-    same = bytes(range(64)) * 4
-    assert codecs.encode(same, "adaptive-shuffle-zlib", 64)[0] == codecs.DELTA
-    assert codecs.encode(same[:64], "adaptive-shuffle-zlib", 64)[0] == codecs.PLAIN
+    first = np.random.default_rng(1).integers(-9000, 9000, 512)
+    drift = np.concatenate([first + 3 * i for i in range(4)]).astype("<i2").tobytes()
+    assert codecs.encode(drift, "adaptive-shuffle-zlib", 1024)[0] == codecs.DELTA
+    assert codecs.encode(drift[:1024], "adaptive-shuffle-zlib", 1024)[0] == codecs.PLAIN
 
 
 def test_sensor_index(spark, tmp_path):
