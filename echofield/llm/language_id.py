@@ -37,13 +37,9 @@ def gram_counts(raw: bytes) -> np.ndarray:
     letters[97:123] = np.arange(97, 123)
     letters[128:] = np.arange(128, 256)
     total = np.zeros(DIMS, np.int64)
-    whole = np.frombuffer(raw, np.uint8)
-    for at in range(0, max(1, len(whole)), SLICE):
-        a = letters[whole[max(0, at - 2) : at + SLICE]]
-        if at == 0:
-            a = np.concatenate((np.zeros(1, np.uint32), a, np.zeros(2, np.uint32)))
-        if len(a) < 3:
-            continue
+    text = np.concatenate((np.zeros(1, np.uint8), np.frombuffer(raw, np.uint8), np.zeros(2, np.uint8)))
+    for at in range(0, len(text) - 2, SLICE):
+        a = letters[text[at : at + SLICE + 2]]
         two = a[:-2] * 256 + a[1:-1]
         three = two * 256 + a[2:]
         codes = np.concatenate((two[(a[:-2] > 0) | (a[1:-1] > 0)], three[a[1:-1] > 0] + np.uint32(1 << 24)))

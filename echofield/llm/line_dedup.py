@@ -94,10 +94,14 @@ class LineRuns:
         total = self._summed(runs)
         frequent = F.col("docs") >= self.min_docs
         total = self._run(total)
+        workspace.forget(*runs)
         self.settled.append(self._run(total.filter(frequent)))
         if len(self.settled) >= self.fanout:
-            self.settled = [self._run(self._summed(self.settled))]
-        self._place(level + 1, total.filter(~frequent))
+            old, self.settled = self.settled, [self._run(self._summed(self.settled))]
+            workspace.forget(*old)
+        rest = total.filter(~frequent)
+        rest.written_path = total.written_path
+        self._place(level + 1, rest)
 
     @staticmethod
     def _summed(runs: list[DataFrame]) -> DataFrame:

@@ -182,8 +182,11 @@ def components(edges: DataFrame) -> DataFrame:
             step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels"
         )
         moved = step.filter(F.col("old") != F.col("label")).limit(1).count()
+        workspace.forget(labels)
         labels = step.select("node", "label")
+        labels.written_path = step.written_path
         if not moved:
+            workspace.forget(both)
             return labels
 
 
@@ -328,6 +331,7 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
         .select("node", "first_id", "n_copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
     labelled = workspace.written(labelled, "classes")
+    workspace.forget(nodes, groups, placed, found, classes)
     ids = labelled.groupBy("label").agg(F.min("first_id").alias("class_id"))
     per_node = labelled.join(ids, "label").select("node", "class_id", "n_links", "n_copies")
     return signed.select("doc_id", "node").join(per_node, "node").select("doc_id", "node", "class_id", "n_links", "n_copies")

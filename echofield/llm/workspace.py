@@ -34,10 +34,14 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None, so
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a working folder, through Hadoop's file system so that any store works."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing refers to any more, through Hadoop so that any store works."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
