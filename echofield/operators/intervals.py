@@ -86,15 +86,16 @@ def nominal(tick: Column, s: str = "") -> Column:
 def segment_of(items: DataFrame, segments: DataFrame, keys: tuple[str, ...] = ("source_id",)) -> DataFrame:
     """Items with the columns of the one segment whose [start_tick, end_tick) holds their ``tick``.
 
-    A clock has few segments (they are broadcast by the planner where small); none or two for an item is an error.
+    A clock's segments (at most some thousand) travel as one array, in which each item finds its own: a plain
+    equi-join, no row is made twice. None or two segments for an item is an error.
     """
-    rows = items.withColumn("__row", F.monotonically_increasing_id()) if "item_index" not in items.columns else items.withColumn("__row", F.col("item_index"))
-    seg = segments.select(*keys, *[c for c in segments.columns if c not in keys])
-    hit = (F.col("tick") >= F.col("start_tick")) & (F.col("tick") < F.col("end_tick"))
-    joined = rows.join(seg, list(keys), "left").withColumn("__hit", F.coalesce(hit, F.lit(False)))
-    n = F.sum(F.col("__hit").cast("int")).over(Window.partitionBy(*keys, "__row"))
-    one = F.when(n == 1, F.col("__hit")).otherwise(F.raise_error(F.lit("a tick without its one clock segment")).cast("boolean"))
-    return joined.withColumn("__hit", one).filter("__hit").drop("__hit", "__row")
+    names = [c for c in segments.columns if c not in keys]
+    clocks = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("__segments"))
+    tick = F.col("tick")
+    hit = F.filter("__segments", lambda s: (tick >= s["start_tick"]) & (tick < s["end_tick"]))
+    rows = items.join(clocks, list(keys), "left").withColumn("__hit", hit)
+    one = F.when(F.size("__hit") == 1, F.col("__hit")).otherwise(F.raise_error(F.lit("a tick without its one clock segment")))
+    return rows.withColumn("__hit", one[0]).select(*items.columns, *[F.col("__hit")[c].alias(c) for c in names])
 
 
 def map_interval(items: DataFrame, semantics: str = "frame_start") -> DataFrame:

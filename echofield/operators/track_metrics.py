@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.contracts import Scenery, require
-from .clustering import linear_sum_assignment
-from .tracking import in_scenery_column
+from .clustering import cluster_points, linear_sum_assignment, summarize_clusters
+from .tracking import in_scenery_column, track_clusters, track_points
 
 
 def assert_unique_ids(tracks: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,11 +137,6 @@ def benchmark_trackers(points: DataFrame, truth: DataFrame, spec, clustering, ma
 
     ``points`` has (capture_id, frame_id, point_idx, x, y, z, velocity, snr), ``truth`` the same keys.
     """
-    from dataclasses import replace
-
-    from .clustering import cluster_points, summarize_clusters
-    from .tracking import track_clusters, track_points
-
     keys = ("capture_id", "frame_id")
     seen = points.filter(F.col("point_idx").isNotNull())
     clusters = summarize_clusters(seen, cluster_points(seen, clustering, keys), keys)

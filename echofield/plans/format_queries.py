@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -273,8 +274,6 @@ def _(spark, sf_dir):
         return ev.select(F.col("event_id").alias("id"), ts.alias("ts"), start.alias("start_ns"), (start + F.round(F.col("value") * 1000).cast("bigint") * 1000).alias("end_ns"))
 
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    import uuid
-
     out = f"{base.rstrip('/')}/causal-{uuid.uuid4().hex}"
     joined = ST.causal_pairs_stream(side("click"), side("purchase"), 0, LAG * 1000, LAG * 1000, "1 hour")
     joined.writeStream.trigger(availableNow=True).option("checkpointLocation", out + "/ck").format("parquet").option("path", out + "/rows").start().awaitTermination()

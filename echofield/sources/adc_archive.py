@@ -11,6 +11,7 @@ import json
 import os
 import struct
 import tempfile
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +49,6 @@ def write_archive(source: str, destination: str, capture: RadarCapture, schema:
     require(capture.num_frames in (None, frames), "the source contradicts the contract")
     meta = metadata_of(capture, frames, schema)
     head = struct.pack(HEADER, MAGIC, VERSION, HEADER_BYTES, HEADER_BYTES + len(meta), len(meta), frame_bytes, frames, RECORD_BYTES, CODEC, METADATA_FORMAT, 0, sha(meta)) + meta
-    import zlib
-
     handle, name = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(destination)))
     try:
         whole, index, at = hashlib.sha256(), [], len(head)

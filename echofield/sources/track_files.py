@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # Fixed values of the format: the types of point and target lists, and their records.
 POINTS, TARGETS = 6, 7
@@ -65,7 +65,7 @@ def tlv_points(rows: DataFrame) -> DataFrame:
     """Points in Cartesian coordinates, as the measurement tracker takes them; empty frames keep a row with a null point."""
     v = lambda i: F.get("values", F.lit(i))
     point = F.col("kind") == "point"
-    per_frame = rows.withColumn("__p", F.max(point.cast("int")).over(_frame()))
+    per_frame = rows.withColumn("__p", F.max(point.cast("int")).over(Window.partitionBy("path", "frame_id")))
     kept = per_frame.filter(point | (F.col("__p") == 0)).dropDuplicates(["path", "frame_id", "kind", "idx"])
     return kept.select(
         F.col("path").alias("capture_id"), "frame_id", F.when(point, F.col("idx")).alias("point_idx"),
@@ -79,12 +79,6 @@ def tlv_truth(rows: DataFrame) -> DataFrame:
     return rows.filter("kind = 'target'").select(F.col("path").alias("capture_id"), "frame_id", F.col("id").alias("truth_id"), v(0).alias("x"), v(1).alias("y"), F.lit(0.0).alias("z"))
 
 
-def _frame():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("path", "frame_id")
-
-
 # --- JSON records
 
 RECORD = "version int, frame_id bigint, tracks array<struct<track_id:bigint,position:array<double>,velocity:array<double>,pos_cov:array<array<double>>,ext_cov:array<array<double>>,status:string,age:int,missed:int>>"
