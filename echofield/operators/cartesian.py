@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.complexes import cabs, pair
 from ..plans.contracts import PlanarAperture, Sparsification, require
-from .cube import Cube
+from .cube import Cube, partitioned
 
 #: The projection's weights are broadcast up to this many rows (about 40 bytes each), beyond it joined by shuffle.
 BROADCAST_WEIGHTS = 1_000_000
@@ -192,57 +192,67 @@ def sparsify_volume(
     points: (keys..., d, z, y, x, velocity, snr_db, rank). counters: one row a frame.
     """
     k = list(keys)
-    cells = _ranked(volume, k, shape, spec, velocity, suppressed)
+    # the one exchange: every window and aggregate below is within a frame
+    cells = _ranked(partitioned(volume, tuple(k)), k, shape, spec, velocity, suppressed)
     frame = Window.partitionBy(*k)
     positive = F.col("seen") > 0
-    candidate = positive & F.col("valid") & F.col("doppler_peak") & F.col("spatial_peak") & (F.col("snr_db") >= spec.min_snr_db)
-    index = F.col("d") * (shape[1] * shape[2] * shape[3]) + F.col("flat")
-    hits = cells.filter(candidate).withColumn("index", index)
-    if spec.max_doppler_peaks_per_spatial is not None:
-        w = Window.partitionBy(*k, "flat").orderBy(F.desc("snr_db"), "index")
-        hits = hits.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= spec.max_doppler_peaks_per_spatial).drop("__n")
-    limited = hits.groupBy(*k).agg(F.count(F.lit(1)).alias("limited_peak_voxels"))
-
-    def tolerance() -> Column:
-        return F.lit(EPS32) * F.greatest(F.max(F.abs("velocity")).over(frame), F.lit(1.0))
+    peak = positive & F.col("valid") & F.col("doppler_peak") & F.col("spatial_peak")
+    candidate = peak & (F.col("snr_db") >= spec.min_snr_db)
+    allowed = F.col("valid") & (F.col("d") != suppressed if suppressed is not None else F.lit(True))
+    cells = cells.withColumns({"index": F.col("d") * (shape[1] * shape[2] * shape[3]) + F.col("flat"), "candidate": candidate})
 
-    def static() -> Column:
-        return F.abs("velocity") <= F.lit(spec.static_velocity_threshold_mps) + tolerance()
+    # candidates, and of each frame the strongest voxel, which stands in where no candidate is left
+    own = F.when(allowed, F.struct("magnitude", (-F.col("index")).alias("order")))
+    pool = cells.withColumns({"__own": own, "__best": F.max(own).over(frame), "__some": F.max((positive & F.col("valid")).cast("int")).over(frame)})
+    pool = pool.filter(F.col("candidate") | (F.col("__own") == F.col("__best"))).drop("__own", "__best")
 
     order = [F.desc("snr_db"), F.asc("index")]
+    kept = F.col("candidate")
+    if spec.max_doppler_peaks_per_spatial is not None:
+        w = Window.partitionBy(*k, "flat").orderBy(F.desc("candidate"), *order)
+        kept = kept & (F.row_number().over(w) <= spec.max_doppler_peaks_per_spatial)
+    pool = pool.withColumn("kept", kept)
+
+    def static(rows: Column) -> Column:
+        """Not faster than the threshold, with a tolerance from the velocities of the rows that count."""
+        fastest = F.max(F.when(rows, F.abs("velocity"))).over(frame)
+        return F.abs("velocity") <= F.lit(spec.static_velocity_threshold_mps) + F.lit(EPS32) * F.greatest(fastest, F.lit(1.0))
+
     if spec.static_point_capacity_fraction == 1.0:
-        chosen = hits.withColumn("rank", F.row_number().over(frame.orderBy(*order))).filter(F.col("rank") <= spec.max_points)
+        place = F.row_number().over(frame.orderBy(F.desc("kept"), *order))
+        pool = pool.withColumn("chosen", F.col("kept") & (place <= spec.max_points))
     else:
         cap = math.floor(spec.max_points * spec.static_point_capacity_fraction)
-        rows = hits.withColumn("__static", static())
-        rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*k, "__static").orderBy(*order)))
-        taken = F.least(F.count_if("__static").over(frame), F.lit(cap))
-        rows = rows.withColumn("__room", F.when(F.col("__static"), F.lit(cap)).otherwise(F.lit(spec.max_points) - taken))
-        chosen = rows.filter(F.col("__place") <= F.col("__room")).withColumn("rank", F.row_number().over(frame.orderBy(*order)))
-    columns = [*k, "d", "z", "y", "x", "velocity", "snr_db", "rank"]
-    points = chosen.select(*columns, F.lit(False).alias("fallback"))
+        pool = pool.withColumn("__static", static(F.col("kept")))
+        place = F.row_number().over(Window.partitionBy(*k, "__static").orderBy(F.desc("kept"), *order))
+        taken = F.least(F.count_if(F.col("kept") & F.col("__static")).over(frame), F.lit(cap))
+        room = F.when(F.col("__static"), F.lit(cap)).otherwise(F.lit(spec.max_points) - taken)
+        pool = pool.withColumn("chosen", F.col("kept") & (place <= room))
+    none = F.max(F.col("chosen").cast("int")).over(frame) == 0
+    first = F.row_number().over(frame.orderBy(F.desc(allowed), F.desc("magnitude"), "index")) == 1
+    stand_in = none & first & allowed & (F.col("__some") == 1) if spec.strongest_point_fallback else F.lit(False)
+    pool = pool.withColumn("fallback", stand_in).withColumn("out", F.col("chosen") | F.col("fallback"))
+    pool = pool.withColumns({"rank": F.row_number().over(frame.orderBy(F.desc("out"), *order)), "__static": static(F.col("out"))})
+    points = pool.filter("out").select(*k, "d", "z", "y", "x", "velocity", "snr_db", "rank", "fallback")
+
+    slab_noise = F.when((F.col("flat") == 0) & (F.col("noise") > 0), F.col("noise"))  # one voxel a slab
     counters = cells.groupBy(*k).agg(
         F.count_if(F.col("valid") & (F.col("d") == 0)).alias("valid_spatial_voxels"),
         F.count_if(positive).alias("positive_volume_voxels"),
         F.count_if(positive & F.col("valid")).alias("valid_positive_volume_voxels"),
         F.count_if(positive & F.col("doppler_peak")).alias("doppler_peak_voxels"),
-        F.count_if(positive & F.col("valid") & F.col("doppler_peak") & F.col("spatial_peak")).alias("local_peak_voxels"),
-        F.count_if(candidate).alias("threshold_peak_voxels"),
+        F.count_if(peak).alias("local_peak_voxels"),
+        F.count_if("candidate").alias("threshold_peak_voxels"),
+        F.min(slab_noise).alias("noise_floor_min"),
+        F.percentile(slab_noise, F.lit(0.5)).alias("noise_floor_median"),
+        F.max(slab_noise).alias("noise_floor_max"),
     )
-    floors = cells.select(*k, "d", "noise").distinct().filter(F.col("noise") > 0).groupBy(*k).agg(
-        F.min("noise").alias("noise_floor_min"), F.percentile("noise", F.lit(0.5)).alias("noise_floor_median"), F.max("noise").alias("noise_floor_max")
+    made = pool.groupBy(*k).agg(
+        F.count_if("kept").alias("limited_peak_voxels"),
+        F.count_if(F.col("out") & F.col("__static")).alias("static_output_points"),
+        F.count_if("out").alias("point_count"),
+        F.max("fallback").alias("fallback_used"),
     )
-    if spec.strongest_point_fallback:
-        allowed = F.col("valid") & (F.col("d") != suppressed if suppressed is not None else F.lit(True))
-        first = F.row_number().over(frame.orderBy(F.desc("magnitude"), "index"))
-        strongest = (
-            cells.withColumn("index", index).withColumn("__some", F.max((positive & F.col("valid")).cast("int")).over(frame))
-            .filter(allowed & (F.col("__some") == 1)).withColumn("rank", first).filter(F.col("rank") == 1)
-            .join(chosen.select(*k).distinct(), k, "left_anti")
-        )
-        points = points.unionByName(strongest.select(*columns, F.lit(True).alias("fallback")))
-    fixed = points.withColumn("__static", static())
-    out = fixed.groupBy(*k).agg(F.count_if("__static").alias("static_output_points"), F.count(F.lit(1)).alias("point_count"), F.max("fallback").alias("fallback_used"))
-    stats = counters.join(limited, k, "left").join(floors, k, "left").join(out, k, "left")
     zero = ["limited_peak_voxels", "static_output_points", "point_count", "noise_floor_min", "noise_floor_median", "noise_floor_max"]
+    stats = counters.join(made, k, "left")
     return points, stats.withColumns({**{c: F.coalesce(F.col(c), F.lit(0)) for c in zero}, "fallback_used": F.coalesce("fallback_used", F.lit(False))})

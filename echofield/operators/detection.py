@@ -139,6 +139,30 @@ def detect_cfar_2d(cube: Cube, spec: Cfar2D) -> DataFrame:
 # --- after detection
 
 
+def neighbourhood_maximum(m: DataFrame, keys: list[str], doppler_bins: int, spec: PeakGrouping) -> DataFrame:
+    """Adds ``highest``: the largest magnitude around each cell of a whole map, the cell itself left out.
+
+    A maximum along range, then along Doppler, both window frames on one partitioning. Cyclic Doppler neighbours
+    are found by repeating rows beyond both ends.
+    """
+    rr, dr = spec.range_radius, spec.doppler_radius
+    row = Window.partitionBy(*keys, "doppler_bin").orderBy("range_bin")
+    value, none = F.col("magnitude"), F.lit(None).cast("double")
+    # greatest() and max() rank NaN above all numbers, so a NaN neighbour stays visible
+    beside = F.greatest(F.max(value).over(row.rowsBetween(-rr, -1)), F.max(value).over(row.rowsBetween(1, rr))) if rr else none
+    rows = m.withColumns({"__row": F.max(value).over(row.rowsBetween(-rr, rr)) if rr else value, "highest": beside, "__d": F.col("doppler_bin")})
+    if not dr:
+        return rows.drop("__row", "__d")
+    if spec.cyclic_doppler:
+        turns = -(-dr // doppler_bins)
+        places = F.array(*[(F.col("doppler_bin") + k * doppler_bins).cast("int") for k in range(-turns, turns + 1)])
+        rows = rows.withColumn("__d", F.explode(F.filter(places, lambda d: (d >= -dr) & (d < doppler_bins + dr))))
+    line = Window.partitionBy(*keys, "range_bin").orderBy("__d")
+    others = [F.max("__row").over(line.rowsBetween(-dr, -1)), F.max("__row").over(line.rowsBetween(1, dr))]
+    rows = rows.withColumn("highest", F.greatest("highest", *others))
+    return rows.filter(F.col("__d") == F.col("doppler_bin")).drop("__row", "__d")
+
+
 def group_detection_peaks(cube: Cube, detections: DataFrame, spec: PeakGrouping = PeakGrouping()) -> DataFrame:
     """Detections whose cell is the peak of its neighbourhood in the whole magnitude map.
 
@@ -146,24 +170,13 @@ def group_detection_peaks(cube: Cube, detections: DataFrame, spec: PeakGrouping
     range neighbours never do. A NaN neighbour rejects.
     """
     keys = list(cube.keys)
-    nd = cube.shape["doppler_bin"]
-    m = range_doppler_magnitude(cube, spec.aggregate_rx)
-    offsets = [(a, b) for a in range(-spec.doppler_radius, spec.doppler_radius + 1) for b in range(-spec.range_radius, spec.range_radius + 1) if (a, b) != (0, 0)]
-    if not offsets:
+    if not spec.doppler_radius and not spec.range_radius:
         return detections
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("d"), F.lit(b).alias("r")) for a, b in offsets]))
-    doppler = F.pmod(F.col("doppler_bin") + F.col("__o.d"), F.lit(nd)) if spec.cyclic_doppler else F.col("doppler_bin") + F.col("__o.d")
-    cells = detections.select(*keys, "doppler_bin", "range_bin").distinct()
-    probes = cells.withColumn("__o", near).select(
-        *keys, "doppler_bin", "range_bin", doppler.alias("__d"), (F.col("range_bin") + F.col("__o.r")).alias("__r")
-    )
-    centre = m.select(*keys, "doppler_bin", "range_bin", F.col("magnitude").alias("__centre"))
-    around = m.select(*keys, F.col("doppler_bin").alias("__d"), F.col("range_bin").alias("__r"), F.col("magnitude").alias("__near"))
-    highest = probes.join(around, [*keys, "__d", "__r"]).groupBy(*keys, "doppler_bin", "range_bin").agg(F.max("__near").alias("__max"))
-    judged = cells.join(centre, [*keys, "doppler_bin", "range_bin"]).join(highest, [*keys, "doppler_bin", "range_bin"], "left")
-    wins = F.col("__centre") > F.col("__max") if spec.strict else F.col("__centre") >= F.col("__max")
-    peak = F.col("__max").isNull() | (~F.isnan("__max") & ~F.isnan("__centre") & wins)
-    return detections.join(judged.filter(peak).select(*keys, "doppler_bin", "range_bin"), [*keys, "doppler_bin", "range_bin"], "left_semi").select(detections.columns)
+    m = neighbourhood_maximum(range_doppler_magnitude(cube, spec.aggregate_rx), keys, cube.shape["doppler_bin"], spec)
+    value, top = F.col("magnitude"), F.col("highest")
+    peak = top.isNull() | (~F.isnan(top) & ~F.isnan(value) & ((value > top) if spec.strict else (value >= top)))
+    cells = [*keys, "doppler_bin", "range_bin"]
+    return detections.join(m.filter(peak).select(*cells), cells, "left_semi").select(detections.columns)
 
 
 def filter_detection_quality(detections: DataFrame, min_snr: float) -> DataFrame:

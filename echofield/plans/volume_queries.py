@@ -71,7 +71,7 @@ def volume(spark, sf_dir):
     cells = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("capture_id"), F.posexplode("embedding").alias("i", "v"))
     i = F.col("i")
     return cells.select(
-        "capture_id", F.lit(0).alias("frame"), F.floor(i / 16).cast("int").alias("d"), (F.floor(i / 8) % 2).cast("int").alias("z"), (F.floor(i / 2) % 4).cast("int").alias("y"),
+        "capture_id", (F.col("capture_id") % 1).cast("int").alias("frame"), F.floor(i / 16).cast("int").alias("d"), (F.floor(i / 8) % 2).cast("int").alias("z"), (F.floor(i / 2) % 4).cast("int").alias("y"),
         (i % 2).alias("x"), F.abs(F.col("v").cast("double")).alias("magnitude"),
     )
 
