@@ -6,10 +6,11 @@
    so that a pair at the threshold shares a band with the target probability.
 3. Nodes are shuffled on band hashes. The members of a shared band are tied to its smallest member (a star, not
    all pairs) and connected stars form candidate groups.
-4. A group is divided into blocks of about ``BLOCK`` nodes; each pair of blocks is one unit of work that holds at
-   most two blocks of full shingle sets, intersects them by a sparse product in column slices, and returns for
-   each node its number of verified links and a spanning forest of the links, so no more rows than nodes.
-   Verifying all pairs of a group finds every pair that shares a band, and some more.
+4. A group is divided into blocks bounded in nodes and shingles; each pair of blocks is one unit of work that
+   holds at most two blocks of full shingle sets, counts what each two sets share (rare shingles pair by pair,
+   common ones by matrix products over slices of columns), and returns for each node its number of verified links
+   and a spanning forest of the links, so no more rows than nodes. Verifying all pairs of a group finds every
+   pair that shares a band, and some more.
 5. Connected components of the verified links are the classes.
 
 Defined results
@@ -34,11 +35,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 MAX_HASHES = 192
-BLOCK = 256
+#: A block of a candidate group has about so many nodes, and so many shingles, at most.
+BLOCK, BLOCK_SHINGLES = 1024, 600_000
 #: Candidate nodes (16 bytes each) are broadcast up to this many, beyond it they are joined by shuffle.
 BROADCAST_NODES = 200_000
-#: Words hashed at once, and columns of the sparse product at once.
-SLICE, COLUMNS = 400_000, 4096
+#: Words hashed at once; columns of a dense product and pairs counted at once; shingles of more owners are dense.
+SLICE, COLUMNS, PAIRS, DENSE_OWNERS = 400_000, 2048, 1 << 20, 32
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -144,7 +146,7 @@ def _cells(column: pa.Array) -> Iterator[bytes]:
 
 
 def signatures(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """(doc_id, node, bands) for rows of (doc_id, norm)."""
+    """(doc_id, node, size, bands) for rows of (doc_id, norm); size is about the number of words."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
@@ -152,10 +154,11 @@ def signatures(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
         for batch in batches:
             made = [signer.bands_of(raw) for raw in _cells(batch.column(2))]
             lists = pa.array([None if m is None else m.tolist() for m in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), lists], names=["doc_id", "node", "size", "bands"])
 
-    return rows.select("doc_id", node_of(F.col("norm")).alias("node"), "norm").mapInArrow(
-        sign, f"doc_id {kind}, node binary, bands array<bigint>"
+    spaces = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
+    return rows.select("doc_id", node_of(F.col("norm")).alias("node"), "norm", spaces.cast("bigint").alias("size")).mapInArrow(
+        sign, f"doc_id {kind}, node binary, size bigint, bands array<bigint>"
     )
 
 
@@ -191,20 +194,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _verify(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
-    """Boolean links between the sets at ``left`` and those at ``right``."""
+    """Boolean links between different sets at ``left`` and ``right``; shingles of one owner are not looked at."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[code] > 1
-    owner, code = owner[shared], code[shared]
     order = np.argsort(code, kind="stable")
-    owner, code = owner[order], code[order]
-    _, code = np.unique(code, return_inverse=True)
-    both = np.zeros((len(left), len(right)), np.float32)
-    n_cols = int(code[-1]) + 1 if len(code) else 0
-    for at in range(0, n_cols, COLUMNS):
-        lo, hi = np.searchsorted(code, [at, at + COLUMNS])
-        m = np.zeros((len(sets), COLUMNS), np.float32)
-        m[owner[lo:hi], code[lo:hi] - at] = 1
+    owner, starts = owner[order], np.concatenate(([0], np.cumsum(times)[:-1]))
+    row, col = np.full(len(sets), -1), np.full(len(sets), -1)
+    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+    both = np.zeros(len(left) * len(right), np.float32)
+    for t in range(2, DENSE_OWNERS + 1):
+        at = starts[times == t]
+        for i in range(0, len(at), max(1, PAIRS // t**2)):
+            owners = owner[at[i : i + max(1, PAIRS // t**2), None] + np.arange(t)]
+            r, c = row[owners][:, :, None], col[owners][:, None, :]
+            cell = (r * len(right) + c)[(r >= 0) & (c >= 0)]
+            if len(cell):
+                both += np.bincount(cell, minlength=len(both))
+    both = both.reshape(len(left), len(right))
+    common = np.flatnonzero(times > DENSE_OWNERS)
+    for i in range(0, len(common), COLUMNS):
+        some = common[i : i + COLUMNS]
+        m = np.zeros((len(sets), len(some)), np.float32)
+        m[owner[np.concatenate([np.arange(starts[k], starts[k] + times[k]) for k in some])], np.repeat(np.arange(len(some)), times[some])] = 1
         both += m[left] @ m[right].T
     sizes = np.array([len(s) for s in sets], float)
     union = sizes[left][:, None] + sizes[right][None, :] - both
@@ -283,7 +294,7 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     read = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
     signed = workspace.written(signatures(read, bands, per_band), "signatures")
     nodes = workspace.written(
-        signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")), "nodes"
+        signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")), "nodes"
     )
     band_rows = nodes.filter(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band"))
     hubs = band_rows.groupBy("band").agg(F.min("node").alias("other"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n")
@@ -293,7 +304,8 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     tied = F.concat(F.array("node"), F.slice("hubs", 2, bands))
     stars = own.select(F.explode(tied).alias("node"), F.col("hubs")[0].alias("other")).distinct()
     groups = components(stars)
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", F.ceil(F.col("n") / block).cast("int").alias("n_blocks"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1))
+    sizes = groups.join(nodes.select("node", "size"), "node").groupBy("label").agg(blocks.cast("int").alias("n_blocks"))
     placed = workspace.written(
         groups.join(sizes, "label").select("node", "label", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks").cast("long")).cast("int").alias("block")),
         "groups",

@@ -514,3 +514,19 @@ def test_dot_product_prefers_what_fits_best():
         assert list(packer.put(packing.Example(i, 0, t, x))) == []
     made = [sorted(e.row for e in s) for s in packer.finish()]
     assert len(made) == 2 and sorted(sum(made, [])) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("owners,pairs,columns", [(32, 1 << 20, 2048), (3, 50, 7), (1, 1, 1)])
+def test_verification_equals_set_arithmetic(monkeypatch, owners, pairs, columns):
+    monkeypatch.setattr(ngram_join, "DENSE_OWNERS", owners)
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+    monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+    rng = np.random.default_rng(6)
+    base = np.arange(60)
+    sets = [np.unique(np.where(rng.random(60) < rng.random() * 0.3, base + 1000 * (i % 5), base)).astype(np.uint64) for i in range(40)] + [np.zeros(0, np.uint64)]
+    sim = np.array([[len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b))) for b in sets] for a in sets])
+    every = np.arange(len(sets))
+    off = ~np.eye(len(sets), dtype=bool)  # a set's similarity with itself is not asked for
+    assert (ngram_join._verify(sets, every, every, 0.8) == (sim >= 0.8 - 1e-9))[off].all()
+    left, right = every[::2], every[1::2]
+    assert (ngram_join._verify(sets, left, right, 0.8) == (sim[np.ix_(left, right)] >= 0.8 - 1e-9)).all()
