@@ -235,9 +235,10 @@ def _forest(links: np.ndarray) -> np.ndarray:
 
 
 def verified_links(members: DataFrame, similarity: float) -> DataFrame:
-    """(node, links, other) from rows (grp, part, node, norm); ``part`` tells the two blocks of a unit apart.
+    """(node, links, texts, other) from rows (grp, part, n_copies, node, norm); ``part`` tells a unit's blocks apart.
 
     Rows of a unit must be adjacent in their partition. part 0: all pairs within; parts 1 and 2: pairs across.
+    ``links`` counts linked documents, ``texts`` linked nodes, ``other`` is a node of the same component.
     """
 
     def check(batches):
@@ -248,7 +249,7 @@ def verified_links(members: DataFrame, similarity: float) -> DataFrame:
             if len(rows) < 2:
                 return None
             part = np.array([r[0] for r in rows])
-            sets = [shingler.sets(r[2]) for r in rows]
+            sets = [shingler.sets(r[3]) for r in rows]
             n = len(rows)
             links = np.zeros((n, n), bool)
             if part[0] == 0:
@@ -261,34 +262,36 @@ def verified_links(members: DataFrame, similarity: float) -> DataFrame:
                     across = _verify(sets, left, right, similarity)
                     links[np.ix_(left, right)] = across
                     links[np.ix_(right, left)] = across.T
-            count = links.sum(axis=1)
+            texts = links.sum(axis=1)
+            documents = links @ np.array([r[1] for r in rows], np.int64)
             root = _forest(links)
-            some = np.flatnonzero(count)
+            some = np.flatnonzero(texts)
             if not len(some):
                 return None
             return pa.RecordBatch.from_pydict(
-                {"node": [rows[i][1] for i in some], "links": count[some].astype(np.int64), "other": [rows[root[i]][1] for i in some]},
-                schema=pa.schema([("node", pa.binary()), ("links", pa.int64()), ("other", pa.binary())]),
+                {"node": [rows[i][2] for i in some], "links": documents[some], "texts": texts[some].astype(np.int64), "other": [rows[root[i]][2] for i in some]},
+                schema=pa.schema([("node", pa.binary()), ("links", pa.int64()), ("texts", pa.int64()), ("other", pa.binary())]),
             )
 
         for batch in batches:
-            for grp, part, node, norm in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), _cells(batch.column(3))):
+            for grp, part, copies, node, norm in zip(*[batch.column(i).to_pylist() for i in range(4)], _cells(batch.column(4))):
                 if grp != unit:
                     if (out := done()) is not None:
                         yield out
                     unit, rows = grp, []
-                rows.append((part, node, norm))
+                rows.append((part, copies, node, norm))
         if (out := done()) is not None:
             yield out
 
-    return members.select("grp", "part", "node", "norm").mapInArrow(check, "node binary, links bigint, other binary")
+    return members.select("grp", "part", "n_copies", "node", "norm").mapInArrow(check, "node binary, links bigint, texts bigint, other binary")
 
 
 def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK) -> DataFrame:
-    """(doc_id, node, class_id, n_links, n_copies) for each row of (doc_id, text).
+    """(doc_id, node, class_id, n_links, n_texts, n_copies) for each row of (doc_id, text).
 
-    class_id is the smallest doc_id of the class, n_links the number of different texts that the text is linked
-    to, n_copies the number of rows with the same words.
+    class_id is the smallest doc_id of the class, n_links the number of other documents that the document is
+    linked to, copies included, n_texts the number of different texts among these that are not its own, n_copies
+    the number of documents with its own words, itself included.
     """
     bands, per_band = choose_bands(similarity, recall, max_hashes)
     read = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
@@ -305,9 +308,10 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     stars = own.select(F.explode(tied).alias("node"), F.col("hubs")[0].alias("other")).distinct()
     groups = components(stars)
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1))
-    sizes = groups.join(nodes.select("node", "size"), "node").groupBy("label").agg(blocks.cast("int").alias("n_blocks"))
+    grouped = groups.join(nodes.select("node", "size", "n_copies"), "node")
+    sizes = grouped.groupBy("label").agg(blocks.cast("int").alias("n_blocks"))
     placed = workspace.written(
-        groups.join(sizes, "label").select("node", "label", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks").cast("long")).cast("int").alias("block")),
+        grouped.join(sizes, "label").select("node", "label", "n_copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks").cast("long")).cast("int").alias("block")),
         "groups",
     )
     wanted = placed.select("node")
@@ -326,27 +330,35 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
         .select(
             F.struct("label", F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi")).alias("u"),
             F.when(i == j, 0).when(i < j, 1).otherwise(2).alias("part"),
+            "n_copies",
             "node",
             "norm",
         )
-        .select(F.concat_ws("/", F.hex("u.label"), "u.lo", "u.hi").alias("grp"), "part", "node", "norm")
+        .select(F.concat_ws("/", F.hex("u.label"), "u.lo", "u.hi").alias("grp"), "part", "n_copies", "node", "norm")
     )
     n_out = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = members.repartition(n_out, "grp").sortWithinPartitions("grp", "node")
     found = workspace.written(verified_links(members, similarity), "links")
-    links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("n_texts"))
     classes = components(found.select("node", "other"))
     linked = classes.join(links, "node")
     labelled = (
         nodes.select("node", "first_id", "n_copies")
         .join(linked, "node", "left")
-        .select("node", "first_id", "n_copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select(
+            "node",
+            "first_id",
+            "n_copies",
+            F.coalesce("label", "node").alias("label"),
+            (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
+            F.coalesce("n_texts", F.lit(0)).alias("n_texts"),
+        )
     )
     labelled = workspace.written(labelled, "classes")
     workspace.forget(nodes, groups, placed, found, classes)
     ids = labelled.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    per_node = labelled.join(ids, "label").select("node", "class_id", "n_links", "n_copies")
-    return signed.select("doc_id", "node").join(per_node, "node").select("doc_id", "node", "class_id", "n_links", "n_copies")
+    per_node = labelled.join(ids, "label").select("node", "class_id", "n_links", "n_texts", "n_copies")
+    return signed.select("doc_id", "node").join(per_node, "node").select("doc_id", "node", "class_id", "n_links", "n_texts", "n_copies")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -368,4 +380,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: near-duplicate classes of all documents, and each document's number of links."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return classify(docs).select("doc_id", "class_id", "n_links", "n_copies")
+    return classify(docs).select("doc_id", "class_id", "n_links", "n_texts", "n_copies")

@@ -305,19 +305,21 @@ def classes_by_hand(rows):
             k = parent[k]
         return k
 
-    links = Counter()
+    near = defaultdict(set)
     for i, a in enumerate(keys):
         for b in keys[:i]:
             both = len(sets[a] & sets[b])
             if both and both / len(sets[a] | sets[b]) >= 0.8:
-                links[a] += 1
-                links[b] += 1
+                near[a].add(b)
+                near[b].add(a)
                 parent[root(a)] = root(b)
     ids = defaultdict(list)
     for doc_id, text in rows:
         ids[root(tuple(words(text)))].append(doc_id)
     smallest = {r: min([i for i in v if i is not None], default=None) for r, v in ids.items()}
-    return sorted(((d, smallest[root(tuple(words(t)))], links[tuple(words(t))]) for d, t in rows), key=str)
+    copies = Counter(tuple(words(t)) for _, t in rows)
+    documents = {k: copies[k] - 1 + sum(copies[x] for x in near[k]) for k in keys}
+    return sorted(((d, smallest[root(tuple(words(t)))], documents[tuple(words(t))], len(near[tuple(words(t))]), copies[tuple(words(t))]) for d, t in rows), key=str)
 
 
 def near_copies(n, length=60):
@@ -336,12 +338,12 @@ def test_ngram_join(spark, small, block):
     rows += [(5000 + i, t) for i, t in enumerate(near_copies(40))] + [(6000, None), (6001, ""), (6002, "?!"), (None, "lonely words without an id"), (6003, "two words"), (6004, "Two, words!"), (5000, near_copies(1)[0])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("norm", F.lit(0))
     got = ngram_join.classify(df, block=block).collect()
-    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == classes_by_hand(rows)
+    assert sorted(((r.doc_id, r.class_id, r.n_links, r.n_texts, r.n_copies) for r in got), key=str) == classes_by_hand(rows)
 
 
 def test_ngram_join_odd(odd, empty):
     got = ngram_join.classify(odd).collect()
-    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == classes_by_hand([(a, b) for a, b, _ in ODD])
+    assert sorted(((r.doc_id, r.class_id, r.n_links, r.n_texts, r.n_copies) for r in got), key=str) == classes_by_hand([(a, b) for a, b, _ in ODD])
     kept = ngram_join.keep_one(odd)
     assert kept.columns == odd.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, 4, 5, 6, 7, 9, None]
