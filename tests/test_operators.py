@@ -444,3 +444,12 @@ def test_benchmark_trackers(spark):
     for strategy in ("cluster", "measurement"):
         assert got[strategy, "all"].recall == 1.0 and got[strategy, "all"].id_switches == 0 and got[strategy, "all"].false_track_observations == 0
         assert got[strategy, "confirmed"].matched_observations == 20
+
+
+def test_benchmark_frame_is_the_known_one():
+    """The bench's full-size frame has a published digest (its first and last bytes)."""
+    import hashlib
+
+    words = ((25173 * np.arange(786_432, dtype=np.int64) + 13849) & 0xFFFF).astype("<u2").tobytes()
+    digest = hashlib.sha256(words).hexdigest()
+    assert len(words) == 1_572_864 and digest.startswith("007ac7c6") and digest.endswith("8f66")
