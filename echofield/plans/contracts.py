@@ -345,6 +345,10 @@ class Scenery:
     outside_max_frames: int = 5
 
 
+# Fixed values of the JSON form: names of the frame's fields.
+ADC_FIELDS = {"chirps": "num_chirps", "rx": "num_rx", "samples": "num_samples"}
+
+
 @dataclass(frozen=True)
 class RadarCapture:
     """Profile, frame shape and transmitter order of a capture."""
@@ -365,28 +369,35 @@ class RadarCapture:
             require(self.frame_periodicity_s >= a.chirps * p.chirp_time_s, "a frame must not be shorter than its chirps")
         require(self.num_frames is None or self.num_frames > 0, "number of frames must be positive")
 
+    @property
+    def expected_size_bytes(self) -> int | None:
+        return None if self.num_frames is None else 2 * self.adc.words * self.num_frames
+
     def to_record(self) -> dict:
-        out = asdict(self)
-        out["tx_order"] = list(self.tx_order)
-        return out
+        """The contract as a JSON object; ``from_record`` takes no other field."""
+        adc = {ADC_FIELDS.get(k, k): v for k, v in asdict(self.adc).items()}
+        return {
+            "profile": asdict(self.profile),
+            "adc": adc,
+            "tx_order": list(self.tx_order),
+            "frame_periodicity_s": self.frame_periodicity_s,
+            "num_frames": self.num_frames,
+            "expected_size_bytes": self.expected_size_bytes,
+        }
 
     @classmethod
     def from_record(cls, record: dict) -> RadarCapture:
-        def strict(kind, data):
-            names = set(kind.__dataclass_fields__)
-            require(set(data) <= names, f"unknown fields {sorted(set(data) - names)}")
-            return kind(**data)
-
-        require(isinstance(record, dict), "a record is an object")
-        unknown = set(record) - set(cls.__dataclass_fields__)
-        require(not unknown, f"unknown fields {sorted(unknown)}")
-        return cls(
-            strict(RadarProfile, record["profile"]),
-            strict(AdcFrame, record["adc"]),
-            tuple(record["tx_order"]),
-            record.get("frame_periodicity_s"),
-            record.get("num_frames"),
-        )
+        def strict(kind, data, names):
+            require(isinstance(data, dict) and set(data) == set(names), f"wrong fields for {kind.__name__}")
+            return kind(**{names[k]: v for k, v in data.items()})
+
+        fields = ("profile", "adc", "tx_order", "frame_periodicity_s", "num_frames", "expected_size_bytes")
+        require(isinstance(record, dict) and set(record) == set(fields), "wrong fields for a capture")
+        profile = strict(RadarProfile, record["profile"], {n: n for n in RadarProfile.__dataclass_fields__})
+        adc = strict(AdcFrame, record["adc"], {ADC_FIELDS.get(n, n): n for n in AdcFrame.__dataclass_fields__})
+        out = cls(profile, adc, tuple(record["tx_order"]), record["frame_periodicity_s"], record["num_frames"])
+        require(out.expected_size_bytes == record["expected_size_bytes"], "the size contradicts the frames")
+        return out
 
 
 @dataclass(frozen=True)
