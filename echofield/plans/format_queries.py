@@ -223,9 +223,11 @@ def stream_records(spark, sf_dir):
     whole = frames.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("i", F.hex("payload").alias("h")))).alias("a"), F.count(F.lit(1)).alias("n"))
     digest = F.sha2(F.unhex(F.array_join(F.transform("a", lambda x: x["h"]), "")), 256)
     sid = F.concat(F.lit("stream-"), F.col("s"))
-    session = F.to_json(F.struct(sid.alias("stream_id"), F.col("n").alias("frame_count"), F.lit(128).alias("frame_bytes"), F.struct(F.lit(3).alias("size_bytes"), F.sha2(config, 256).alias("sha256")).alias("radar_config")))
-    terminal = F.to_json(F.struct(sid.alias("stream_id"), F.col("n").alias("frames"), (F.col("n") * 128).alias("adc_bytes"), digest.alias("adc_sha256")))
+    zeros = [F.lit(0).alias(o) for o in R.ORIGINS]
+    shape = F.struct(F.col("n").alias("frame_count"), F.lit(128).alias("frame_bytes"), (F.col("n") * 128).alias("expected_bytes"), *zeros)
     end = F.when(F.col("s") % 3 == 0, "ABORT").otherwise("COMMIT")
+    session = F.to_json(F.struct(sid.alias("stream_id"), shape.alias("capture"), F.struct(F.lit(3).alias("size_bytes"), F.sha2(config, 256).alias("sha256")).alias("radar_config")))
+    terminal = F.to_json(F.struct(sid.alias("stream_id"), F.lower(end).alias("outcome"), F.col("n").alias("frames"), (F.col("n") * 128).alias("adc_bytes"), digest.alias("adc_sha256")))
     zero = F.lit(0).cast("bigint")
     rows = whole.select(sid.alias("stream_id"), F.explode(F.array(
         F.struct(zero.alias("sequence"), F.lit("SESSION").alias("kind"), zero.alias("item_index"), session.cast("binary").alias("payload")),

@@ -26,6 +26,7 @@ from ..operators.dense import dense_range_doppler
 from ..plans.contracts import RadarCapture, RangeDopplerRecipe
 from ..plans.runners import adc_to_range_doppler, check_capture
 from ..sources.files import read_range, regular_size, strict_json
+from ..sources.radar_cfg import parse_capture
 
 HEADER, HEADER_BYTES, PREFIX_BYTES = "<8sHHHHQQQQ32s", 80, 48
 SESSION, CONFIG, FRAME, COMMIT, ABORT = 1, 2, 3, 4, 5
@@ -34,6 +35,10 @@ NAMES = {SESSION: "SESSION", CONFIG: "RADAR_CONFIG", FRAME: "FRAME", COMMIT: "CO
 MOST = {SESSION: 64 << 10, CONFIG: 1 << 20, FRAME: 64 << 20, COMMIT: 4 << 10, ABORT: 4 << 10}
 
 
+#: Counters that a stream starts at 0.
+ORIGINS = ("record_sequence_origin", "frame_index_origin", "adc_byte_offset_origin")
+
+
 class StreamError(ValueError):
     """The stream is malformed, damaged or incomplete."""
 
@@ -112,25 +117,28 @@ class CaptureMachine:
         self.sequence += 1
         if r.kind == SESSION:
             self.session = strict_json(r.payload)
-            if not (self.session["frame_count"] > 0 and 0 < self.session["frame_bytes"] <= MOST[FRAME]):
+            shape = self.session["capture"]
+            if not (shape["frame_count"] > 0 and 0 < shape["frame_bytes"] <= MOST[FRAME] and shape["frame_bytes"] % 2 == 0):
                 raise StreamError("SESSION declares no frames")
+            if shape["expected_bytes"] != shape["frame_count"] * shape["frame_bytes"] or any(shape[o] for o in ORIGINS):
+                raise StreamError("SESSION contradicts itself")
         elif r.kind == CONFIG:
             want = self.session["radar_config"]
             if len(r.payload) != want["size_bytes"] or hashlib.sha256(r.payload).hexdigest() != want["sha256"]:
                 raise StreamError("RADAR_CONFIG differs from SESSION")
             self.config = r.payload
         elif r.kind == FRAME:
-            if self.frames >= self.session["frame_count"] or len(r.payload) != self.session["frame_bytes"]:
+            if self.frames >= self.session["capture"]["frame_count"] or len(r.payload) != self.session["capture"]["frame_bytes"]:
                 raise StreamError("FRAME differs from SESSION")
             self.adc.update(r.payload)  # type: ignore[attr-defined]
             self.adc_bytes += len(r.payload)
             self.frames += 1
         else:
             end = strict_json(r.payload)
-            evidence = (end["stream_id"], end["frames"], end["adc_bytes"], end["adc_sha256"])
-            if evidence != (self.session["stream_id"], self.frames, self.adc_bytes, self.adc.hexdigest()):  # type: ignore[attr-defined]
+            evidence = (end["stream_id"], end["outcome"], end["frames"], end["adc_bytes"], end["adc_sha256"])
+            if evidence != (self.session["stream_id"], NAMES[r.kind].lower(), self.frames, self.adc_bytes, self.adc.hexdigest()):  # type: ignore[attr-defined]
                 raise StreamError("the terminal record differs from the stream")
-            if r.kind == COMMIT and self.frames != self.session["frame_count"]:
+            if r.kind == COMMIT and self.frames != self.session["capture"]["frame_count"]:
                 raise StreamError("COMMIT before all frames")
             self.outcome = "commit" if r.kind == COMMIT else "abort"
 
@@ -175,12 +183,22 @@ class CaptureStream:
         self.stage = "frames"
         return self.machine.session
 
+    def radar_capture(self) -> RadarCapture:
+        """The capture that the stream's command file sets up; it must agree with SESSION."""
+        s = self.machine.session
+        shape = s["capture"]
+        out = parse_capture(self.machine.config.decode(), s["adc"]["layout"], s["hardware"]["family"])
+        if out.num_frames != shape["frame_count"] or 2 * out.adc.words != shape["frame_bytes"]:
+            self.machine.broken = "the command file differs from SESSION"
+            raise StreamError(self.machine.broken)
+        return out
+
     def frames(self) -> Iterator[tuple[int, np.ndarray]]:
         """(index, words) of every declared frame, once; provisional until the commit."""
         if self.stage != "frames":
             raise RuntimeError("frames follow the contract, once")
         self.stage = "reading"
-        for i in range(self.machine.session["frame_count"]):
+        for i in range(self.machine.session["capture"]["frame_count"]):
             record = self._next()
             if record.kind == ABORT:
                 raise StreamAborted(json.loads(record.payload).get("reason_code"))

@@ -169,8 +169,8 @@ def test_tlv(spark, tmp_path):
 
 def stream(frames=3, terminal=R.COMMIT, **changes):
     body = [bytes([i]) * 64 for i in range(frames)]
-    session = {"stream_id": "a", "frame_count": 3, "frame_bytes": 64, "radar_config": {"size_bytes": 3, "sha256": hashlib.sha256(b"cfg").hexdigest()}}
-    end = {"stream_id": "a", "frames": frames, "adc_bytes": 64 * frames, "adc_sha256": hashlib.sha256(b"".join(body)).hexdigest(), "reason_code": "cancelled"} | changes
+    session = {"stream_id": "a", "capture": {"frame_count": 3, "frame_bytes": 64, "expected_bytes": 192} | dict.fromkeys(R.ORIGINS, 0), "radar_config": {"size_bytes": 3, "sha256": hashlib.sha256(b"cfg").hexdigest()}}
+    end = {"stream_id": "a", "outcome": R.NAMES[terminal].lower(), "frames": frames, "adc_bytes": 64 * frames, "adc_sha256": hashlib.sha256(b"".join(body)).hexdigest(), "reason_code": "cancelled"} | changes
     out = [R.Record(R.SESSION, 0, 0, json.dumps(session).encode()), R.Record(R.CONFIG, 1, 0, b"cfg")]
     out += [R.Record(R.FRAME, 2 + i, i, f) for i, f in enumerate(body)]
     return [*out, R.Record(terminal, 2 + frames, frames, json.dumps(end).encode())]
@@ -190,7 +190,7 @@ def test_stream():
 
 
 @pytest.mark.parametrize("records,tail,damage", [
-    (stream(2), b"", None), (stream(adc_bytes=1), b"", None), (stream(stream_id="b"), b"", None), (stream(), b"x", None), (stream(), b"", 500), (stream()[:-1], b"", None),
+    (stream(2), b"", None), (stream(adc_bytes=1), b"", None), (stream(stream_id="b"), b"", None), (stream(outcome="abort"), b"", None), (stream(), b"x", None), (stream(), b"", 500), (stream()[:-1], b"", None),
     ([stream()[0], *stream()[2:]], b"", None), ([*stream()[:3], stream()[2], *stream()[3:]], b"", None),
 ])
 def test_stream_damage(records, tail, damage):
@@ -198,6 +198,22 @@ def test_stream_damage(records, tail, damage):
         read(records, tail, damage)
 
 
+def test_stream_binds_its_command_file():
+    cfg = CFG.replace("frameCfg 0 1 4 0", "frameCfg 0 1 4 3").encode()
+    size = 2 * radar_cfg.parse_capture(cfg.decode(), "group2_i_then_q", "xwr68xx").adc.words
+    for frame_bytes in (size, size + 2):
+        shape = {"frame_count": 3, "frame_bytes": frame_bytes, "expected_bytes": 3 * frame_bytes} | dict.fromkeys(R.ORIGINS, 0)
+        head = {"stream_id": "a", "capture": shape, "adc": {"layout": "group2_i_then_q"}, "hardware": {"family": "xwr68xx"}, "radar_config": {"size_bytes": len(cfg), "sha256": hashlib.sha256(cfg).hexdigest()}}
+        data = R.pack_record(R.Record(R.SESSION, 0, 0, json.dumps(head).encode())) + R.pack_record(R.Record(R.CONFIG, 1, 0, cfg))
+        s = R.CaptureStream(io.BytesIO(data))
+        s.contract()
+        if frame_bytes == size:
+            assert s.radar_capture().num_frames == 3
+        else:
+            with pytest.raises(R.StreamError):
+                s.radar_capture()
+
+
 def test_stream_abort():
     with pytest.raises(R.StreamAborted, match="cancelled"):
         read(stream(2, R.ABORT))
@@ -218,9 +234,10 @@ def test_growing_stream_is_published_once(spark, tmp_path):
     assert [(r.frame_id, r.provisional) for r in rows] == [(0, False), (1, False), (2, False)]
 
 
+LIMITS = {"max_items": 10, "max_item_bytes": 100, "max_payload_bytes": 1000}
 SOURCES = [
-    {"source_id": "radar-0", "kind": "radar", "timestamp_semantics": "frame_start", "tick_hz": 1000, "wrap_ticks": 100, "max_items": 10, "max_item_bytes": 100, "max_payload_bytes": 1000, "required": True},
-    {"source_id": "cam", "kind": "camera", "timestamp_semantics": "delivery_observed", "tick_hz": 10**9, "wrap_ticks": 0, "max_items": 10, "max_item_bytes": 100, "max_payload_bytes": 1000, "required": False},
+    {"source_id": "radar-0", "kind": "radar", "required": True, "limits": LIMITS, "clock": {"timestamp_semantics": "frame_start", "tick_hz": 1000, "wrap_ticks": 100}},
+    {"source_id": "cam", "kind": "camera", "required": False, "limits": LIMITS, "clock": {"timestamp_semantics": "delivery_observed", "tick_hz": 10**9, "wrap_ticks": 0}},
 ]
 
 
