@@ -9,7 +9,7 @@ equi-join on (length, block, value) finds all of them, and the Hamming distance
 verified exactly: weighted Jaccard similarity of the shingle counts of window and item.
 
 A pair of similarity 0.8 shares 8 of 9 shingles, which turns 15 % of the bits on average (9.7 of 64, standard
-deviation 2.9); the radius of 20 leaves out fewer than one such pair in 2,000, and unrelated texts at 32 bits.
+deviation 2.9); the radius of 24 leaves out about one such pair in 300,000, and nearly all unrelated texts at 32 bits.
 
 Items are matched in blocks of at most ``BLOCK_SHINGLES`` shingles, so that what is broadcast is bounded however
 large the benchmark is; each block is one pass over the documents.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import workspace
 
 SHINGLE = 5
-RADIUS = 20
+RADIUS = 24
 BITS = 64
 SIMILARITY = 0.8
 #: Shingles of benchmark items that are broadcast at once (about 50 MB as a hash relation).
