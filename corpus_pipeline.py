@@ -14,8 +14,7 @@ from echofield.llm import decontaminate, line_dedup, ngram_join, packing, qualit
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble scores below 0.5 go."""
     model = quality_rules.trained_on(spark, docs, sf_dir)
-    scored = quality_rules.score_documents(docs.select(F.struct("*").alias("row"), "text"), model)
-    return scored.filter(F.col("score") >= 0.5).select("row.*")
+    return quality_rules.keep_good(docs, model, 0.5)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ Defined results
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -195,6 +196,16 @@ def score_documents(docs: DataFrame, model: RuleModel) -> DataFrame:
     )
 
 
+def keep_good(docs: DataFrame, model: RuleModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``.
+
+    The optimiser would push the test below the projections and evaluate the statistics anew in each rule, as
+    filters share no subexpressions; an observed row count between both keeps it above.
+    """
+    scored = score_documents(docs.select(F.struct("*").alias("row"), "text"), model)
+    return scored.observe(f"scored-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows")).filter(F.col("score") >= threshold).select("row.*")
+
+
 def held_out() -> Column:
     """Rows that no label may be learned from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
