@@ -12,16 +12,21 @@ a task is cut into sequences whose lengths are powers of two, which need no padd
 
 Defined results
     null or empty text: the end id alone. repeated rows: packed one by one, each with its own pieces.
+    text that spells an added token of the file: that token's id, as the tokenizer gives.
+    very long texts, runs of blanks or of one letter: encoded whole; full sequences leave at once, a tail waits.
     examples that exceed a limit and may not be cut: a sequence of their own, marked ``oversize``.
-    empty table: empty result. Ties: the example that came first.
+    empty table: empty result. Ties: the example that came first. null doc_id: an ordinary value.
+    extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -134,29 +139,63 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: A longer run of white space goes to the exact tokenizer: the fast one's pattern matcher backtracks over it.
+LONG_BLANKS = 1000
+
+
 class Encoder:
-    """Ids of a byte-level BPE file. The fast encoder takes the file's own ranks and pre-token pattern."""
+    """Ids of a byte-level BPE file, equal to those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
+
+    Text is divided at the file's added tokens, as the tokenizer does; the parts between go through a faster encoder
+    with the file's own ranks and pre-token pattern, but for parts with very long runs of white space.
+    """
 
     def __init__(self, path: str):
+        import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        specials = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        odd = [t["content"] for t in added if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+        if odd or spec.get("normalizer") or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel":
+            raise ValueError("only byte-level files without normalizer and with plain added tokens are read")
+        self.path, self._exact = path, None
+        self.added = {t["content"]: t["id"] for t in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.at_added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
+        self.long_blanks = re.compile(r"\s{%d}" % LONG_BLANKS)
         # byte-level BPE writes each byte as one printable character; spaces stand for themselves + 256
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {chr(b): b for b in plain}
         chars.update({chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))})
-        ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in specials}
-        import public_tokenizers
-
+        ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
         self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+
+    @property
+    def exact(self):
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self.path)
+        return self._exact
+
+    def _plain(self, text: str) -> np.ndarray:
+        if self.long_blanks.search(text):
+            return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
     def ids(self, text: str) -> np.ndarray:
-        return np.append(np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32), np.uint32(END_ID))
+        """The text's ids and the end id."""
+        parts = self.at_added.split(text) if self.at_added else [text]
+        made = [np.array([self.added[part]], np.uint32) if i % 2 else self._plain(part) for i, part in enumerate(parts) if part]
+        return np.concatenate([*made, np.array([END_ID], np.uint32)])
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a Python worker, kept between its tasks."""
+    return Encoder(path)
 
 
 SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -172,7 +211,7 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: str | None
     schema = pa.schema([("doc_id", field), *[(c, pa.int64()) for c in COLUMNS]])
 
     def pack(batches):
-        encoder, packer = Encoder(path), Packer(limits, pool, cut=True)
+        encoder, packer = encoder_of(path), Packer(limits, pool, cut=True)
         held: dict[int, tuple] = {}
         left: dict[int, int] = {}
         sequence_id = (TaskContext.get().partitionId() << 40) - 1
@@ -203,7 +242,8 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: str | None
                 ids = encoder.ids(text.as_py())
                 n = len(ids)
                 held[row], left[row] = (doc_id.as_py(), ids, 0, n), n
-                emit(packer.put(Example(row, 0, n, n)))
+                # nothing precedes the first id, so it bears no loss
+                emit(packer.put(Example(row, 0, n, n - 1)))
                 if row in held and left[row] < n:  # of a long document only the tail still waits
                     base = n - left[row]
                     held[row] = (held[row][0], ids[base:].copy(), base, n)

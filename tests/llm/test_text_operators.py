@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
 from oracle import SMALL, compare  # noqa: E402
@@ -443,13 +444,13 @@ def test_media_odd(odd, empty):
 
 
 def check_pieces(rows, texts):
-    encoder = packing.Encoder(packing.tokenizer_path())
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
         by_seq[r.sequence_id].append(r)
     for doc_id, text in texts:
-        ids = [*encoder.exact.encode(text or "", add_special_tokens=False).ids, 1]
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
         at = 0
         for r in sorted(by_doc[doc_id], key=lambda r: r.start):
             assert r.start == at and r.doc_tokens == len(ids)
@@ -486,10 +487,26 @@ def test_encoder_equals_the_tokenizer():
 
     r = random.Random(7)
     alphabet = [chr(c) for c in (9, 10, 11, 12, 13, 28, 31, 133, 160, 0x1680, 0x2028, 0x3000, 0xFEFF)] + list("aZéß01²٣中'sdtrelmv  $!_-") + ["\U0001f600", "é", "<|endoftext|>"]
-    e = packing.Encoder(packing.tokenizer_path())
+    e, tokenizer = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
     for _ in range(3000):
         text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 14)))
-        assert e.ids(text)[:-1].tolist() == e.exact.encode(text, add_special_tokens=False).ids
+        assert e.ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
+LONG_RUNS = [" " * 5_000_000, "\n" * 5_000_000, "a" + "\r\n" * 700_000 + "b", " \t" * 1000 + "x" + " " * 999, "z" * 1_000_000, "!" * 300_000 + " " * 2000, "one<|endoftext|>two <|endoftext|> <|endoftext|>" + "\n" * 3000]
+
+
+@pytest.mark.parametrize("case", range(len(LONG_RUNS)))
+def test_encoder_survives_long_runs(case):
+    e, tokenizer = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    text = LONG_RUNS[case]
+    assert e.ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
+def test_packing_long_runs(spark):
+    texts = [(i, t) for i, t in enumerate(LONG_RUNS)]
+    rows = packing.pack_documents(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert check_pieces(rows, texts) == 0
 
 
 def test_pack_examples(spark):
