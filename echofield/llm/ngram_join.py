@@ -4,20 +4,25 @@
    so exact copies, however many, cost one row from here on.
 2. Each node's five-word shingles give a MinHash signature, divided into bands. Rows a band and bands are chosen
    so that a pair at the threshold shares a band with the target probability.
-3. Nodes are shuffled on band hashes. The members of a shared band are tied to its smallest member (a star, not
-   all pairs) and connected stars form candidate groups.
-4. A group is divided into blocks bounded in nodes and shingles; each pair of blocks is one unit of work that
-   holds at most two blocks of full shingle sets, counts what each two sets share (rare shingles pair by pair,
-   common ones by matrix products over slices of columns), and returns for each node its number of verified links
-   and a spanning forest of the links, so no more rows than nodes. Verifying all pairs of a group finds every
-   pair that shares a band, and some more.
+3. Nodes are shuffled on band hashes. Bands with the same members are one bucket. Within a bucket (a big one in
+   pairs of bounded blocks) sketches, a byte for each MinHash, are compared around leaders: a member is covered by a
+   leader that nearly equals it, and every member within reach of a leader is tied to it. By the triangle inequality
+   two members at the threshold end up tied through the leader of one of them, while dissimilar members of a bucket
+   stay apart, so shared boilerplate does not chain documents together. A bucket of near copies has few leaders, so
+   it costs about its size, not its square.
+4. Tied nodes form candidate groups. A group is divided into blocks bounded in nodes and shingles; each pair of
+   blocks is one unit of work that holds at most two blocks of full shingle sets, counts what each two sets share (rare
+   shingles pair by pair, common ones by matrix products over slices of columns), and returns for each node its number
+   of verified links and a spanning forest of the links, so no more rows than nodes.
 5. Connected components of the verified links are the classes.
 
 Defined results
     one to four words: one shingle of all words. No word (null, empty, punctuation): no shingle, no link;
     such documents are copies of each other and share a class.
-    repeated rows: copies. null doc_id: an ordinary row; a class of such rows only has class_id null.
+    repeated rows, and equal doc_ids on different texts: a row each; a class is told by its ``class_node``, and
+    class_id is its smallest doc_id. null doc_id: an ordinary row; a class of such rows only has class_id null.
     empty table: empty result. Long texts are read whole, in slices of bounded memory.
+    extra columns are not read by ``classify`` and pass through ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +42,10 @@ RECALL = 0.9999
 MAX_HASHES = 192
 #: A block of a candidate group has about so many nodes, and so many shingles, at most.
 BLOCK, BLOCK_SHINGLES = 1024, 600_000
+#: Smaller groups are divided too, into blocks of this many nodes, up to this many blocks, to spread their work.
+SPREAD_NODES, SPREAD_BLOCKS = 64, 16
+#: Members of a bucket whose sketches are compared in one unit of work.
+SKETCH_BLOCK = 1024
 #: Candidate nodes (16 bytes each) are broadcast up to this many, beyond it they are joined by shuffle.
 BROADCAST_NODES = 200_000
 #: Words hashed at once; columns of a dense product and pairs counted at once; shingles of more owners are dense.
@@ -126,7 +135,8 @@ class Signer:
         self.weights = _mix(np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
         self.shingler = Shingler()
 
-    def bands_of(self, raw: bytes) -> np.ndarray | None:
+    def sign(self, raw: bytes) -> tuple[np.ndarray, bytes] | None:
+        """Band hashes, and a byte for each MinHash."""
         least = None
         for hashes in self.shingler.slices(raw):
             h = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -137,7 +147,8 @@ class Signer:
             return None
         wide = _mix(least.reshape(self.bands, self.rows).astype(np.uint64) + self.weights)
         mixed = (wide * self.weights).sum(axis=1, dtype=np.uint64)
-        return _mix(mixed + np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        bands = _mix(mixed + np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        return bands, (wide & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def _cells(column: pa.Array) -> Iterator[bytes]:
@@ -146,22 +157,107 @@ def _cells(column: pa.Array) -> Iterator[bytes]:
 
 
 def signatures(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """(doc_id, node, size, bands) for rows of (doc_id, norm); size is about the number of words."""
+    """(doc_id, t1, t2, node, size, bands, sketch) for rows of (doc_id, t1, t2, norm); size is about the number of words."""
     kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "t1", "t2", "node", "size", "bands", "sketch"]
 
     def sign(batches):
         signer = Signer(bands, per_band)
         for batch in batches:
-            made = [signer.bands_of(raw) for raw in _cells(batch.column(2))]
-            lists = pa.array([None if m is None else m.tolist() for m in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), lists], names=["doc_id", "node", "size", "bands"])
+            made = [signer.sign(raw) for raw in _cells(batch.column(5))]
+            lists = pa.array([None if m is None else m[0].tolist() for m in made], pa.list_(pa.int64()))
+            sketches = pa.array([None if m is None else m[1] for m in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], lists, sketches], names=names)
 
     spaces = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
-    return rows.select("doc_id", node_of(F.col("norm")).alias("node"), "norm", spaces.cast("bigint").alias("size")).mapInArrow(
-        sign, f"doc_id {kind}, node binary, size bigint, bands array<bigint>"
+    return rows.select("doc_id", "t1", "t2", node_of(F.col("norm")).alias("node"), spaces.cast("bigint").alias("size"), "norm").mapInArrow(
+        sign, f"doc_id {kind}, t1 bigint, t2 bigint, node binary, size bigint, bands array<bigint>, sketch binary"
     )
 
 
+def reach(similarity: float, hashes: int) -> tuple[float, float]:
+    """(cover, tie): shares of equal sketch bytes from which a leader covers a member, and from which one is tied.
+
+    With distances 1 - J: a member within 0.4 (1 - s) of its leader and another within 1 - s of the member are within
+    1.4 (1 - s) of each other at most; five standard deviations of the estimate are allowed on top.
+    """
+    cover = 1 - 0.4 * (1 - similarity)
+    return cover, max(0.0, 1 - 1.4 * (1 - similarity) - 2.5 / math.sqrt(hashes))
+
+
+def _ties(sketches: np.ndarray, left: np.ndarray, cover: float, tie: float) -> np.ndarray:
+    """Root of each row: rows are tied to leaders among ``left``, which cover all of ``left``."""
+    n = len(sketches)
+    label = np.arange(n)
+    covered = np.ones(n, bool)
+    covered[left] = False
+    for leader in left:
+        if covered[leader]:
+            continue
+        same = (sketches == sketches[leader]).mean(axis=1)
+        covered |= same >= cover
+        near = np.flatnonzero(same >= tie)
+        label[np.isin(label, label[near])] = label[near].min()
+    return label
+
+
+def similar_ties(nodes: DataFrame, similarity: float, block: int = SKETCH_BLOCK) -> DataFrame:
+    """(node, other) ties of nodes that share a band and have similar sketches, from rows (node, bands, sketch).
+
+    Ties connect any two nodes of one bucket whose similarity reaches the threshold; no more rows than members.
+    """
+    band_rows = nodes.filter(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band"))
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"m{i}") for i in (1, 2)]
+    buckets = band_rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *members).filter(F.col("n") > 1)
+    buckets = buckets.groupBy("n", "m1", "m2").agg(F.min("band").alias("band"))
+    shared = band_rows.join(buckets.select("band", "n"), "band")
+    own = shared.groupBy("node").agg(F.collect_list(F.struct("band", "n")).alias("buckets"))
+    n_blocks = F.ceil(F.col("b.n") / block).cast("int")
+    placed = (
+        nodes.select("node", "sketch")
+        .join(own, "node")
+        .select("node", "sketch", F.explode("buckets").alias("b"))
+        .select("node", "sketch", F.col("b.band").alias("band"), n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("node"), n_blocks.cast("long")).cast("int").alias("block"))
+        .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    )
+    i, j = F.col("block"), F.col("to")
+    units = placed.select(
+        "band", F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi"), F.when(i == j, 0).when(i < j, 1).otherwise(2).alias("part"), "node", "sketch"
+    )
+    units = units.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node")
+
+    def compare(batches):
+        unit, rows = None, []
+        out: list[tuple[bytes, bytes]] = []
+
+        def done():
+            if len(rows) < 2:
+                return
+            sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+            left = np.flatnonzero(np.array([r[0] for r in rows]) < 2)
+            label = _ties(sketches, left, *reach(similarity, sketches.shape[1]))
+            out.extend((rows[k][1], rows[label[k]][1]) for k in range(len(rows)) if label[k] != k)
+
+        def flush():
+            made = pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["node", "other"])
+            out.clear()
+            return made
+
+        for batch in batches:
+            for *key, part, node, sketch in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != unit:
+                    done()
+                    unit, rows = key, []
+                rows.append((part, node, sketch))
+            if out:
+                yield flush()
+        done()
+        if out:
+            yield flush()
+
+    return units.mapInArrow(compare, "node binary, other binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (node, other): the smallest node of its component.
 
@@ -286,28 +382,33 @@ def verified_links(members: DataFrame, similarity: float) -> DataFrame:
     return members.select("grp", "part", "n_copies", "node", "norm").mapInArrow(check, "node binary, links bigint, texts bigint, other binary")
 
 
-def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK) -> DataFrame:
-    """(doc_id, node, class_id, n_links, n_texts, n_copies) for each row of (doc_id, text).
+def candidate_groups(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, label): the nodes that are tied to others, and the smallest node of each group."""
+    # a node keeps a tie to its smallest other node and ties the rest to that one: the same groups, about one edge a node
+    tied = similar_ties(nodes, similarity).groupBy("node").agg(F.array_sort(F.collect_set("other")).alias("others"))
+    ends = F.concat(F.array("node"), F.slice("others", 2, F.greatest(F.size("others"), F.lit(1))))
+    return components(tied.select(F.explode(ends).alias("node"), F.col("others")[0].alias("other")))
+
+
+def text_identity(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(5), text).alias("t2")]
 
-    class_id is the smallest doc_id of the class, n_links the number of other documents that the document is
-    linked to, copies included, n_texts the number of different texts among these that are not its own, n_copies
-    the number of documents with its own words, itself included.
+
+def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK, spread: int = SPREAD_NODES) -> DataFrame:
+    """(doc_id, t1, t2, node, class_node, class_id, n_links, n_texts, n_copies) for each row of (doc_id, text).
+
+    class_node is the smallest node of the class, class_id its smallest doc_id, n_links the number of other documents
+    that the document is linked to, copies included, n_texts the number of different texts among these that are not
+    its own, n_copies the number of documents with its own words, itself included. (t1, t2) identify the text as it is.
     """
     bands, per_band = choose_bands(similarity, recall, max_hashes)
-    read = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
+    read = docs.select("doc_id", *text_identity(F.col("text")), normalised(F.col("text")).alias("norm"))
     signed = workspace.written(signatures(read, bands, per_band), "signatures")
-    nodes = workspace.written(
-        signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")), "nodes"
-    )
-    band_rows = nodes.filter(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band"))
-    hubs = band_rows.groupBy("band").agg(F.min("node").alias("other"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n")
-    # a node keeps an edge to the smallest of its hubs (at most one for each band) and ties the other hubs to it:
-    # the same components from about one edge a node
-    own = band_rows.join(hubs, "band").filter(F.col("node") != F.col("other")).groupBy("node").agg(F.array_sort(F.collect_set("other")).alias("hubs"))
-    tied = F.concat(F.array("node"), F.slice("hubs", 2, bands))
-    stars = own.select(F.explode(tied).alias("node"), F.col("hubs")[0].alias("other")).distinct()
-    groups = components(stars)
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1))
+    made = [F.first(c).alias(c) for c in ("bands", "sketch", "size")]
+    nodes = workspace.written(signed.groupBy("node").agg(*made, F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")), "nodes")
+    groups = candidate_groups(nodes, similarity)
+    spread_over = F.least(F.ceil(F.count(F.lit(1)) / spread), F.lit(SPREAD_BLOCKS))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES), spread_over, F.lit(1))
     grouped = groups.join(nodes.select("node", "size", "n_copies"), "node")
     sizes = grouped.groupBy("label").agg(blocks.cast("int").alias("n_blocks"))
     placed = workspace.written(
@@ -328,56 +429,63 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
         placed.join(texts, "node")
         .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .select(
-            F.struct("label", F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi")).alias("u"),
+            F.concat_ws("/", F.hex("label"), F.least(i, j), F.greatest(i, j)).alias("grp"),
             F.when(i == j, 0).when(i < j, 1).otherwise(2).alias("part"),
             "n_copies",
             "node",
             "norm",
         )
-        .select(F.concat_ws("/", F.hex("u.label"), "u.lo", "u.hi").alias("grp"), "part", "n_copies", "node", "norm")
     )
-    n_out = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = members.repartition(n_out, "grp").sortWithinPartitions("grp", "node")
+    members = members.repartition("grp").sortWithinPartitions("grp", "node")
     found = workspace.written(verified_links(members, similarity), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("n_texts"))
     classes = components(found.select("node", "other"))
-    linked = classes.join(links, "node")
-    labelled = (
-        nodes.select("node", "first_id", "n_copies")
-        .join(linked, "node", "left")
-        .select(
-            "node",
-            "first_id",
-            "n_copies",
-            F.coalesce("label", "node").alias("label"),
-            (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
-            F.coalesce("n_texts", F.lit(0)).alias("n_texts"),
-        )
+    labelled = nodes.select("node", "first_id", "n_copies").join(classes.join(links, "node"), "node", "left")
+    labelled = labelled.select(
+        "node",
+        "first_id",
+        "n_copies",
+        F.coalesce("label", "node").alias("class_node"),
+        (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
+        F.coalesce("n_texts", F.lit(0)).alias("n_texts"),
     )
     labelled = workspace.written(labelled, "classes")
     workspace.forget(nodes, groups, placed, found, classes)
-    ids = labelled.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    per_node = labelled.join(ids, "label").select("node", "class_id", "n_links", "n_texts", "n_copies")
-    return signed.select("doc_id", "node").join(per_node, "node").select("doc_id", "node", "class_id", "n_links", "n_texts", "n_copies")
+    ids = labelled.groupBy("class_node").agg(F.min("first_id").alias("class_id"))
+    per_node = labelled.join(ids, "class_node").select("node", "class_node", "class_id", "n_links", "n_texts", "n_copies")
+    return signed.select("doc_id", "t1", "t2", "node").join(per_node, "node").select(
+        "doc_id", "t1", "t2", "node", "class_node", "class_id", "n_links", "n_texts", "n_copies"
+    )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one of smallest doc_id; columns as in ``docs``."""
+    """One document of each class; columns as in ``docs``.
+
+    The one of smallest doc_id stays, null doc_ids come last, ties of doc_ids go by digest; of rows that
+    repeat both doc_id and text one stays. Only the (small) identities of what goes are joined with the documents.
+    """
     found = classify(docs.select("doc_id", "text"))
-    # null doc_ids come last; ties of null or repeated ids are settled by the text's digest
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
-    classed = found.withColumn("class_key", F.coalesce(F.col("class_id").cast("string"), F.hex("node")))
-    keep = classed.groupBy("class_key").agg(F.min(order).alias("k")).select(F.col("k.node").alias("__node"), F.col("k.doc_id").alias("__id"))
-    rows = docs.select(F.struct("*").alias("__doc"), node_of(normalised(F.col("text"))).alias("__own"))
-    return (
-        rows.join(keep, (F.col("__own") == F.col("__node")) & F.col("__doc.doc_id").eqNullSafe(F.col("__id")))
-        .groupBy("__own", "__id")
-        .agg(F.first("__doc").alias("__doc"))
-        .select("__doc.*")
-    )
+    key = ["doc_id", "t1", "t2"]
+    units = found.groupBy("class_node", "node", *key).agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "t1", "t2")
+    keep = units.groupBy("class_node").agg(F.min(order).alias("k"), F.sum("n").alias("total")).filter(F.col("total") > 1)
+    stays = F.col("k.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("k.t1") == F.col("t1")) & (F.col("k.t2") == F.col("t2"))
+    away = units.join(keep.select("class_node", "k"), "class_node").select(*key, stays.alias("stays"), "n").filter(~F.col("stays") | (F.col("n") > 1))
+    away = workspace.written(away, "away")
+    rows = docs.select(F.struct("*").alias("__doc"), *[c.alias(f"__{n}") for c, n in zip(text_identity(F.col("text")), key[1:])])
+    here = F.col("__doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2"))
+    gone, repeated = away.select(*key), away.filter("stays").select(*key)
+    n_gone, n_repeated = away.agg(F.count(F.lit(1)), F.count_if("stays")).first()
+    if n_gone <= BROADCAST_NODES:
+        gone, repeated = F.broadcast(gone), F.broadcast(repeated)
+    kept = rows.join(gone, here, "left_anti").select("__doc.*")
+    if n_repeated:
+        one = rows.join(repeated, here, "left_semi").groupBy("__doc.doc_id", "__t1", "__t2").agg(F.first("__doc").alias("__doc"))
+        kept = kept.unionByName(one.select("__doc.*"))
+    return kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: near-duplicate classes of all documents, and each document's number of links."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return classify(docs).select("doc_id", "class_id", "n_links", "n_texts", "n_copies")
+    return classify(docs).select("doc_id", "class_id", "n_links", "n_texts", "n_copies", F.hex("class_node").alias("class_key"))

@@ -333,12 +333,12 @@ def near_copies(n, length=60):
     return out
 
 
-@pytest.mark.parametrize("block", [256, 7])
-def test_ngram_join(spark, small, block):
+@pytest.mark.parametrize("block,spread", [(256, 256), (7, 3)])
+def test_ngram_join(spark, small, block, spread):
     rows = [(r.doc_id, r.text) for r in small.collect()]
     rows += [(5000 + i, t) for i, t in enumerate(near_copies(40))] + [(6000, None), (6001, ""), (6002, "?!"), (None, "lonely words without an id"), (6003, "two words"), (6004, "Two, words!"), (5000, near_copies(1)[0])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("norm", F.lit(0))
-    got = ngram_join.classify(df, block=block).collect()
+    got = ngram_join.classify(df, block=block, spread=spread).collect()
     assert sorted(((r.doc_id, r.class_id, r.n_links, r.n_texts, r.n_copies) for r in got), key=str) == classes_by_hand(rows)
 
 
@@ -363,8 +363,49 @@ def test_minhash_estimates_similarity():
     a = [f"w{i}" for i in range(400)]
     b = a[:300] + [f"v{i}" for i in range(100)]
     true = len(set(shingles(a)) & set(shingles(b))) / len(set(shingles(a)) | set(shingles(b)))
-    same = (signer.bands_of(" ".join(a).encode()) == signer.bands_of(" ".join(b).encode())).mean()
-    assert abs(same - true) < 0.12 and rng is not None
+    (one, left), (two, right) = (signer.sign(" ".join(x).encode()) for x in (a, b))
+    assert abs((one == two).mean() - true) < 0.12 and rng is not None
+    assert abs((np.frombuffer(left, np.uint8) == np.frombuffer(right, np.uint8)).mean() - true) < 0.12
+
+
+def test_keep_one_loses_nothing(spark):
+    """Equal and null doc_ids on different texts, repeated rows, near copies: one of each class by hand stays."""
+    near = near_copies(3)
+    rows = [(1, "alpha beta one"), (1, "quite another text"), (2, "third"), (None, near[0]), (None, near[1]), (None, "alone without id"), (None, "alone without id"), (3, near[2]), (4, "Twice"), (4, "twice"), (4, "twice"), (5, "TWICE!"), (None, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"node": F.lit(1), "__doc": F.lit(2), "t1": F.lit("x"), "stays": F.lit(False)})
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, " ".join(words(r.text))) for r in kept.collect()), key=str)
+    assert got == sorted([(1, "alpha beta one"), (1, "quite another text"), (2, "third"), (None, "alone without id"), (3, near[2]), (4, "twice"), (6, "")], key=str)
+
+
+def test_chained_buckets_are_verified_in_linear_work(spark):
+    """10,000 dissimilar nodes, each sharing a band with the next: no group, and two rows for each shared band."""
+    rng = np.random.default_rng(1)
+    n = 10_000
+    rows = [(i.to_bytes(16, "big"), [2 * i, 2 * i + 2, -i - 1], rng.integers(0, 256, 186, np.uint8).tobytes()) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "node binary, bands array<bigint>, sketch binary")
+    assert ngram_join.similar_ties(nodes, 0.8).count() == 0
+    similar = spark.createDataFrame([(node, bands, rows[0][2]) for node, bands, _ in rows[:50]], nodes.schema)
+    assert ngram_join.candidate_groups(similar, 0.8).select("label").distinct().count() == 1
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_big_buckets_are_tied_in_blocks(spark, block):
+    """Three clusters in one bucket stay three groups, however the bucket is divided."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, (3, 186), np.uint8)
+    rows = []
+    for i in range(150):
+        sketch = base[i % 3].copy()
+        sketch[rng.choice(186, 15, replace=False)] = rng.integers(0, 256, 15)
+        rows.append((i.to_bytes(16, "big"), [7], sketch.tobytes()))
+    nodes = spark.createDataFrame(rows, "node binary, bands array<bigint>, sketch binary")
+    ties = ngram_join.similar_ties(nodes, 0.8, block)
+    groups = defaultdict(set)
+    for r in ngram_join.components(ties).collect():
+        groups[bytes(r.label)].add(int.from_bytes(r.node, "big"))
+    assert sorted(map(sorted, groups.values())) == [list(range(k, 150, 3)) for k in range(3)]
 
 
 def test_shingles_do_not_depend_on_slices(monkeypatch):
