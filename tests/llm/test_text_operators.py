@@ -260,7 +260,8 @@ def test_decontamination(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
     assert {(1, 1), (2, 1), (6, 1), (None, 3), (9, 5), (10, 1)} <= set(got) and (3, 1) not in got and not any(k[0] == 5 for k in got)
     kept = decontaminate.drop_contaminated(d.withColumn("fp", F.lit(1)), b)
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _ in docs if not any(k[0] == i for k in got)), key=str)
+    bad = {t for i, t in docs if any(k[0] == i and i is not None or k == (None, 3) and i is None and t for k in got)}
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, t in docs if t not in bad), key=str)
 
 
 def test_decontamination_blocks(spark, small, monkeypatch):
@@ -276,18 +277,72 @@ def test_decontamination_empty(spark, odd, empty):
     assert decontaminate.matches(empty, spark.createDataFrame([(1, LONG[:400])], "item_id bigint, text string")).count() == 0
 
 
-def test_blocks_cover_the_radius(spark):
-    """Any two fingerprints within the radius share a block value."""
+def signed64(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def fingerprint_table(spark, values, names):
+    rows = [(*[i] * len(names), 60, signed64(v & ((1 << 64) - 1)), signed64(v >> 64)) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, ", ".join(f"{n} bigint" for n in names) + ", length int, fp0 bigint, fp1 bigint")
+
+
+def test_index_covers_the_radius(spark):
+    """Any two fingerprints within the radius meet, wherever the bits differ."""
     rng = np.random.default_rng(4)
-    a = rng.integers(-(2**63), 2**63, 50, dtype=np.int64)
-    pairs = []
-    for x in a:
-        flips = rng.choice(64, decontaminate.RADIUS, replace=False)
-        y = int(np.uint64(x.view(np.uint64)) ^ np.uint64(sum(1 << int(f) for f in flips)))
-        pairs.append((int(x), y - (1 << 64) if y >= 1 << 63 else y))
-    df = spark.createDataFrame(pairs, "x bigint, y bigint")
-    shared = F.arrays_overlap(decontaminate.blocks(F.col("x"), decontaminate.RADIUS), decontaminate.blocks(F.col("y"), decontaminate.RADIUS))
-    assert df.filter(shared).count() == 50
+    r = decontaminate.RADIUS
+    assert sum(t + 1 for t in decontaminate.shares(r)) == r + 1 and sum(decontaminate.widths()) == decontaminate.BITS
+    left = [int.from_bytes(rng.bytes(16), "little") for _ in range(60)]
+    spread = [rng.choice(128, r, replace=False) for _ in range(40)] + [np.arange(r) + k for k in range(20)]
+    right = [x ^ sum(1 << int(f) for f in flips) for x, flips in zip(left, spread)]
+    hits = decontaminate.index_hits(fingerprint_table(spark, left, ["c1", "c2"]), fingerprint_table(spark, right, ["k1", "k2"]), r)
+    assert hits.filter("c1 = k1").select("c1").distinct().count() == 60
+    assert {x.distance for x in hits.filter("c1 = k1").collect()} == {r}
+
+
+def test_index_prunes(spark):
+    """Unrelated windows and 1,000 items of one length: far fewer rows leave the block join than there are pairs."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = lambda n: [(k, k, 40, [vocabulary[j] for j in rng.integers(0, 3000, 40)]) for k in range(n)]
+    items = spark.createDataFrame(texts(1000), "k1 bigint, k2 bigint, length int, words array<string>")
+    contents = spark.createDataFrame(texts(200), "c1 bigint, c2 bigint, length int, words array<string>")
+    hits = decontaminate.index_hits(decontaminate.fingerprints(contents, decontaminate.CONTENT), decontaminate.fingerprints(items, [*decontaminate.ITEM, "length"]), decontaminate.RADIUS)
+    share = hits.count() / (200 * 1000)
+    print(f"rows of the block join / pairs of equal length: {share:.4f}")
+    assert share < 0.05
+
+
+def test_recall_at_the_threshold(spark):
+    """Passages with words replaced, inserted and left out, held against every window of every document."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    some = lambda n: [vocabulary[j] for j in rng.integers(0, 4000, n)]
+    items = [(k, some(int(rng.integers(40, 120)))) for k in range(60)]
+    docs = []
+    for k in range(400):
+        w = list(items[k % 60][1])
+        for _ in range(int(rng.integers(0, 4))):
+            at, kind = int(rng.integers(0, len(w))), int(rng.integers(0, 3))
+            w[at : at + (kind != 1)] = some(1) if kind < 2 else []
+        docs.append((k, " ".join(some(int(rng.integers(0, 60))) + w + some(int(rng.integers(0, 60))))))
+    named = [(k, " ".join(w)) for k, w in items]
+    want = matches_by_hand(docs, named)
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(named, "item_id bigint, text string")).collect()}
+    assert set(found) <= set(want) and all(found[k] <= want[k] + 1e-12 for k in found)
+    near = [k for k, s in want.items() if s < 0.85]
+    all_found, near_found = len(found) / len(want), len(set(near) & set(found)) / len(near)
+    print(f"recall {all_found:.4f} of {len(want)}, {near_found:.4f} of {len(near)} between 0.8 and 0.85")
+    assert all_found >= 0.98 and near_found >= 0.9
+
+
+def test_only_contaminated_texts_go(spark):
+    """Clean documents that share a doc_id, null too, with a contaminated one stay; repeated rows go together."""
+    item = " ".join(f"word{i}" for i in range(30))
+    rows = [(None, item), (None, "clean without an id"), (1, "x " + item), (1, "clean " * 9), (2, item), (2, item), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"t1": F.lit("x"), "c1": F.lit(1), "words": F.lit("w"), "__doc": F.lit(0)})
+    kept = decontaminate.drop_contaminated(df, spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[1], rows[3], rows[6], rows[7]], key=str)
 
 
 # --- near duplicates
