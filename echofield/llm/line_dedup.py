@@ -1,15 +1,17 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a Parquet table of ``(h1, h2, docs)`` sorted by the 128-bit key hash. Each batch of documents is
-aggregated to one row per key, merge-anti-joins the runs of keys that are already settled (found in
-``min_docs`` documents) and adds the rest as a new run of level 0. When a level holds ``fanout`` runs they
-are merged into one of the next level, as in a log-structured merge tree; keys that reach the threshold
-there move to the settled run. The cost of a batch is thus one sorted merge, however long the history is.
+A run is a table of ``(h1, h2, docs)``, bucketed and sorted by the 128-bit key hash. Each batch of documents is
+aggregated to one row a key (its only exchange) and merge-anti-joins the runs of settled keys (already found in
+``min_docs`` documents, so nothing more need be counted) and all levelled runs: keys that no run holds are the batch's
+own run, keys sighted again are a small table of further counts beside it. Bucketed runs are joined without exchange
+or sort. When a level holds ``fanout`` runs they and their sightings are merged into one run of
+the next level, as in a log-structured merge tree; keys that reach the threshold there move to a settled run.
+A batch thus reads each run once, in order, and there are at most ``fanout - 1`` runs a level.
 
 Defined results
     null or empty text: one empty line; an empty key is never dropped.
-    repeated rows: a document is a (doc_id, text) pair, so exact repeats of one row count once and are all
-    returned with the same result. Null doc_ids are ordinary values.
+    repeated rows, equal or null doc_ids: each row is a document, counts as one and is returned.
+    very long texts: split whole; a document's lines are sorted by hash, so its cost is near linear in its length.
     empty table: empty result. Extra columns pass through; columns of the result replace equal names.
 """
 
@@ -47,20 +49,37 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row for each line with a key: document, position and 128-bit key hash."""
-    key = F.col("key")
+    """One row for each line with a key: document, position, 128-bit key hash, and whether it is the document's first such."""
+    hashed = lambda line, pos: F.struct(
+        F.xxhash64(line_key(line)).alias("h1"), F.xxhash64(F.lit(7), line_key(line)).alias("h2"), pos.alias("pos"), (F.length(line_key(line)) >= 1).alias("has_key")
+    )
+    ordered = F.array_sort(F.filter(F.transform(lines_of(F.col("text")), hashed), lambda x: x["has_key"]))
+
+    def marked(x: Column, i: Column) -> Column:
+        before = F.get(F.col("ordered"), i - 1)
+        same = (before["h1"] == x["h1"]) & (before["h2"] == x["h2"])
+        return F.struct(x["pos"].alias("pos"), x["h1"].alias("h1"), x["h2"].alias("h2"), (~F.coalesce(same, F.lit(False))).alias("first"))
+
     return (
-        docs.select(
-            F.xxhash64("doc_id", "text").alias("d1"),
-            F.xxhash64(F.lit(1), "text", "doc_id").alias("d2"),
-            F.posexplode(lines_of(F.col("text"))).alias("pos", "line"),
-        )
-        .select("d1", "d2", "pos", line_key(F.col("line")).alias("key"))
-        .filter(F.length(key) >= 1)
-        .select("d1", "d2", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
+        docs.select(F.xxhash64("doc_id", "text").alias("d1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("d2"), ordered.alias("ordered"))
+        .select("d1", "d2", F.inline(F.transform("ordered", marked)))
     )
 
 
+KEY = ["h1", "h2"]
+
+
+@dataclass
+class Run:
+    """Keys that no earlier run held, and further sightings of keys that one did."""
+
+    keys: DataFrame
+    again: DataFrame | None = None
+
+    def tables(self) -> list[DataFrame]:
+        return [self.keys] if self.again is None else [self.keys, self.again]
+
+
 @dataclass
 class LineRuns:
     """The levelled runs. ``levels[i]`` lists the runs of level i; ``settled`` the runs of frequent keys."""
@@ -68,21 +87,32 @@ class LineRuns:
     spark: SparkSession
     min_docs: int = 10
     fanout: int = 4
-    levels: list[list[DataFrame]] = field(default_factory=list)
+    levels: list[list[Run]] = field(default_factory=list)
     settled: list[DataFrame] = field(default_factory=list)
 
-    def _run(self, df: DataFrame) -> DataFrame:
-        return workspace.written(df, "line-run", sort_by=["h1", "h2"])
+    def _written(self, df: DataFrame) -> DataFrame:
+        with workspace.sorted_buckets(self.spark):
+            return workspace.bucketed(df, "line-run", KEY)
+
+    @staticmethod
+    def _without(rows: DataFrame, *runs: DataFrame) -> DataFrame:
+        for run in runs:
+            rows = rows.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
+        return rows
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of ``line_table`` rows; a document's lines must be in one batch."""
-        docs = lines.select("h1", "h2", "d1", "d2").distinct()
-        run = docs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"))
-        for known in self.settled:
-            run = run.join(known.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        self._place(0, self._run(run))
-
-    def _place(self, level: int, run: DataFrame) -> None:
+        batch = self._written(lines.filter("first").groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs")))
+        known = [run.keys for level in self.levels for run in level]
+        if not known and not self.settled:
+            self._place(0, Run(batch))
+            return
+        own = self._written(self._without(batch, *self.settled, *known))
+        again = self._written(self._without(batch, *self.settled, own))
+        workspace.forget(batch)
+        self._place(0, Run(own, again))
+
+    def _place(self, level: int, run: Run) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
@@ -91,50 +121,64 @@ class LineRuns:
 
     def _compact(self, level: int) -> None:
         runs, self.levels[level] = self.levels[level], []
-        total = self._summed(runs)
+        tables = [t for run in runs for t in run.tables()]
+        total = self._written(self._summed(tables))
+        workspace.forget(*tables)
         frequent = F.col("docs") >= self.min_docs
-        total = self._run(total)
-        workspace.forget(*runs)
-        self.settled.append(self._run(total.filter(frequent)))
+        self.settled.append(self._written(total.filter(frequent).select(*KEY).distinct()))
+        rest = self._written(self._without(total, self.settled[-1]))
+        workspace.forget(total)
         if len(self.settled) >= self.fanout:
-            old, self.settled = self.settled, [self._run(self._summed(self.settled))]
+            old = self.settled
+            self.settled = [self._written(_united(old).distinct())]
             workspace.forget(*old)
-        rest = total.filter(~frequent)
-        rest.written_path = total.written_path
-        self._place(level + 1, rest)
+        self._place(level + 1, Run(rest))
 
     @staticmethod
-    def _summed(runs: list[DataFrame]) -> DataFrame:
-        total = runs[0]
-        for run in runs[1:]:
-            total = total.unionByName(run)
-        return total.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"))
+    def _summed(tables: list[DataFrame]) -> DataFrame:
+        return _united(tables).groupBy(*KEY).agg(F.sum("docs").alias("docs"))
 
     def frequent(self) -> DataFrame:
         """Keys found in at least ``min_docs`` documents over all batches: (h1, h2)."""
-        left = [run for level in self.levels for run in level]
-        found = [s.select("h1", "h2") for s in self.settled]
+        left = [t for level in self.levels for run in level for t in run.tables()]
+        found = self.spark.createDataFrame([], "h1 bigint, h2 bigint")
+        if self.settled:
+            found = found.unionByName(_united(self.settled))
         if left:
-            found.append(self._summed(left).filter(F.col("docs") >= self.min_docs).select("h1", "h2"))
-        if not found:
-            return self.spark.createDataFrame([], "h1 bigint, h2 bigint")
-        out = found[0]
-        for more in found[1:]:
-            out = out.unionByName(more)
-        return workspace.written(out.distinct(), "frequent-lines")
+            found = found.unionByName(self._summed(left).filter(F.col("docs") >= self.min_docs).select(*KEY))
+        return workspace.written(found.distinct(), "frequent-lines")
+
+    def forget(self) -> None:
+        workspace.forget(*self.settled, *[t for level in self.levels for run in level for t in run.tables()])
+
+
+def _united(tables: list[DataFrame]) -> DataFrame:
+    """Rows of all tables, read as plain files: a union of bucketed scans claims their partitioning, but a columnar one
+    does not keep it (PySpark 4.1.2), so an aggregation above would come out in parts."""
+    plain = [t.sparkSession.read.schema(t.schema).parquet(t.written_path) for t in tables]
+    out = plain[0]
+    for more in plain[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+#: Documents come in this many batches, more than a level of runs holds.
+BATCHES, FANOUT = 6, 4
 
 
-def frequent_line_keys(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 4) -> tuple[DataFrame, DataFrame]:
+def frequent_line_keys(docs: DataFrame, min_docs: int = 10, batches: int = BATCHES, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
     """The line table of ``docs`` and the keys in at least ``min_docs`` documents, found batch by batch."""
     lines = line_table(docs).withColumn("batch", F.pmod(F.col("d1"), F.lit(batches)).cast("int"))
     lines = workspace.written(lines, "lines", partition_by=["batch"])
     runs = LineRuns(docs.sparkSession, min_docs, fanout)
     for batch in range(batches):
         runs.add(lines.filter(F.col("batch") == batch))
-    return lines.drop("batch"), runs.frequent()
+    frequent = runs.frequent()
+    runs.forget()
+    return lines.drop("batch"), frequent
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 4) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """``docs`` with the lines of frequent keys removed from ``text``, plus ``n_lines`` and ``n_dropped``."""
     lines, keys = frequent_line_keys(docs, min_docs, batches, fanout)
     if keys.count() <= BROADCAST_KEYS:
@@ -171,17 +215,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+l AS (
+  SELECT rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+  FROM d),
 k AS (
-  SELECT doc_id, pos, line,
+  SELECT rid, doc_id, pos, line,
          translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM l),
-f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10)
 SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(f.key)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.rid, k.doc_id
 """

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session leaves that setting unset (tests on one machine) is a local folder chosen.
+    Only where the session leaves that setting unset and runs on one machine is a local folder chosen.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
         base = spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="echofield-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -39,9 +43,38 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None, so
     return table
 
 
+def bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """``df`` written as a table bucketed and sorted by ``keys``, and read back.
+
+    There are as many buckets as shuffle partitions, so a join or aggregation by the keys needs no exchange of it.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
+    name = "echofield_" + path.rsplit("/", 1)[1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    table.written_path, table.written_name = path, name
+    return table
+
+
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside rely on the order of buckets that are one file each, as ``bucketed`` writes them."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def forget(*tables: DataFrame) -> None:
-    """Delete tables of ``written`` that nothing refers to any more, through Hadoop so that any store works."""
+    """Delete tables that nothing refers to any more, through Hadoop so that any store works."""
     for table in tables:
         spark = table.sparkSession
+        if getattr(table, "written_name", None):
+            spark.sql(f"DROP TABLE IF EXISTS {table.written_name}")
         path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

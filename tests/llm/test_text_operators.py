@@ -68,9 +68,9 @@ def test_query_runs(spark, name):
 
 def lines_by_hand(rows, min_docs):
     seen, key = defaultdict(set), lambda line: line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans(line_dedup.UPPER, line_dedup.LOWER))
-    for doc_id, text in rows:
+    for row, (_, text) in enumerate(rows):
         for line in (text or "").split("\n"):
-            seen[key(line)].add((doc_id, text))
+            seen[key(line)].add(row)
     out = []
     for doc_id, text in rows:
         lines = (text or "").split("\n")
@@ -79,7 +79,7 @@ def lines_by_hand(rows, min_docs):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("batches,fanout", [(1, 2), (5, 2), (4, 3)])
+@pytest.mark.parametrize("batches,fanout", [(1, 2), (9, 2), (6, 4)])
 def test_lines(spark, small, batches, fanout):
     rows = [(r.doc_id, r.text) for r in small.collect()]
     rows += [(1000 + i, f"Shared LINE\t\nown {i}\nshared line\nÉTÉ") for i in range(9)] + [(2000, " shared line\r"), (2000, " shared line\r"), (None, None)]
@@ -95,13 +95,40 @@ def test_lines_odd(odd, empty):
     assert line_dedup.drop_frequent_lines(empty).count() == 0
 
 
+def test_lines_of_a_long_text(spark):
+    rows = [(i, "\n".join([f"line {k}" for k in range(200_000)] + ["again"] * 1000)) for i in range(2)]
+    got = line_dedup.drop_frequent_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()
+    assert [(r.n_lines, r.n_dropped, r.text) for r in got] == [(201_000, 201_000, "")] * 2
+
+
 def test_settled_keys_leave_later_batches(spark):
     runs = line_dedup.LineRuns(spark, min_docs=2, fanout=2)
     for b in range(4):
         docs = spark.createDataFrame([(10 * b + i, "common\nown %d" % (10 * b + i)) for i in range(2)], "doc_id bigint, text string")
         runs.add(line_dedup.line_table(docs))
     assert runs.settled and runs.frequent().count() == 1
-    assert runs.levels[0] == [] and max(r.count() for level in runs.levels for r in level) == 8
+    assert runs.levels[0] == [] and max(r.keys.count() for level in runs.levels for r in level) == 8
+    runs.forget()
+
+
+def test_batches_merge_anti_join_the_runs(spark, monkeypatch):
+    """In the registered query, a batch has one exchange and merge-anti-joins settled and levelled runs without another or a sort."""
+    plans, written = [], line_dedup.workspace.bucketed
+
+    def watched(df, label, keys):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1])
+        return written(df, label, keys)
+
+    monkeypatch.setattr(line_dedup.workspace, "bucketed", watched)
+    line_dedup.query(spark, SMALL)
+    joined = [p for p in plans if "SortMergeJoin" in p]
+    assert all("LeftAnti" in p and "BroadcastHashJoin" not in p for p in joined)
+    assert len(joined) == 2 * (line_dedup.BATCHES - 1) + 1  # and the rest of a compaction
+    # runs and batches are read in order: neither exchange nor sort
+    assert not any("Exchange" in p or "Sort [" in p for p in joined)
+    assert max(p.count("LeftAnti") for p in joined) >= 3  # settled keys, a compacted run and a new one
+    counted = [p for p in plans if "partial_count" in p]  # compactions sum
+    assert len(counted) == line_dedup.BATCHES and all(p.count("Exchange") == 1 for p in counted)
 
 
 # --- shards
