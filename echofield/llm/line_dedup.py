@@ -1,7 +1,7 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 A run is a table of ``(h1, h2, docs)``, bucketed and sorted by the 128-bit key hash. Each batch of documents is
-aggregated to one row a key (its only exchange) and merge-anti-joins the runs of settled keys (already found in
+aggregated to one row a key (its only exchanges) and merge-anti-joins the runs of settled keys (already found in
 ``min_docs`` documents, so nothing more need be counted) and all levelled runs: keys that no run holds are the batch's
 own run, keys sighted again are a small table of further counts beside it. Bucketed runs are joined without exchange
 or sort. When a level holds ``fanout`` runs they and their sightings are merged into one run of
@@ -11,7 +11,7 @@ A batch thus reads each run once, in order, and there are at most ``fanout - 1``
 Defined results
     null or empty text: one empty line; an empty key is never dropped.
     repeated rows, equal or null doc_ids: each row is a document, counts as one and is returned.
-    very long texts: split whole; a document's lines are sorted by hash, so its cost is near linear in its length.
+    very long texts: split whole, at a cost linear in their length.
     empty table: empty result. Extra columns pass through; columns of the result replace equal names.
 """
 
@@ -30,8 +30,9 @@ BROADCAST_KEYS = 100_000
 
 
 def line_key(line: Column) -> Column:
-    """The line without ASCII blanks at its ends and with A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+    """The line without ASCII blanks at its ends and with A-Z lower-cased (by the faster function where all is ASCII)."""
+    bare = F.btrim(line, F.lit(BLANKS))
+    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
 def lines_of(text: Column) -> Column:
@@ -49,20 +50,22 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row for each line with a key: document, position, 128-bit key hash, and whether it is the document's first such."""
-    hashed = lambda line, pos: F.struct(
-        F.xxhash64(line_key(line)).alias("h1"), F.xxhash64(F.lit(7), line_key(line)).alias("h2"), pos.alias("pos"), (F.length(line_key(line)) >= 1).alias("has_key")
-    )
-    ordered = F.array_sort(F.filter(F.transform(lines_of(F.col("text")), hashed), lambda x: x["has_key"]))
-
-    def marked(x: Column, i: Column) -> Column:
-        before = F.get(F.col("ordered"), i - 1)
-        same = (before["h1"] == x["h1"]) & (before["h2"] == x["h2"])
-        return F.struct(x["pos"].alias("pos"), x["h1"].alias("h1"), x["h2"].alias("h2"), (~F.coalesce(same, F.lit(False))).alias("first"))
+    """One row for each line with a key: row number, document, position and 128-bit key hash.
 
+    ``row`` tells rows of equal doc_id and text apart; it is fixed once the table is written.
+    """
+    key = F.col("key")
     return (
-        docs.select(F.xxhash64("doc_id", "text").alias("d1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("d2"), ordered.alias("ordered"))
-        .select("d1", "d2", F.inline(F.transform("ordered", marked)))
+        docs.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.xxhash64("doc_id", "text").alias("d1"),
+            F.xxhash64(F.lit(1), "text", "doc_id").alias("d2"),
+            F.col("text"),
+        )
+        .select("row", "d1", "d2", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+        .select("row", "d1", "d2", "pos", line_key(F.col("line")).alias("key"))
+        .filter(F.length(key) >= 1)
+        .select("row", "d1", "d2", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
     )
 
 
@@ -102,7 +105,7 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of ``line_table`` rows; a document's lines must be in one batch."""
-        batch = self._written(lines.filter("first").groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs")))
+        batch = self._written(lines.select(*KEY, "row").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs")))
         known = [run.keys for level in self.levels for run in level]
         if not known and not self.settled:
             self._place(0, Run(batch))

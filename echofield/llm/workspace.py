@@ -47,12 +47,13 @@ def bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """``df`` written as a table bucketed and sorted by ``keys``, and read back.
 
     There are as many buckets as shuffle partitions, so a join or aggregation by the keys needs no exchange of it.
+    Hashes do not compress, and codecs hold buffers outside the heap for each of the many small files: none is used.
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
     name = "echofield_" + path.rsplit("/", 1)[1].replace("-", "_")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    df.write.bucketBy(n, *keys).sortBy(*keys).options(path=path, compression="none").format("parquet").saveAsTable(name)
     table = spark.table(name)
     table.written_path, table.written_name = path, name
     return table

@@ -112,7 +112,7 @@ def test_settled_keys_leave_later_batches(spark):
 
 
 def test_batches_merge_anti_join_the_runs(spark, monkeypatch):
-    """In the registered query, a batch has one exchange and merge-anti-joins settled and levelled runs without another or a sort."""
+    """In the registered query, batches merge-anti-join settled and levelled runs without an exchange or a sort."""
     plans, written = [], line_dedup.workspace.bucketed
 
     def watched(df, label, keys):
@@ -127,8 +127,6 @@ def test_batches_merge_anti_join_the_runs(spark, monkeypatch):
     # runs and batches are read in order: neither exchange nor sort
     assert not any("Exchange" in p or "Sort [" in p for p in joined)
     assert max(p.count("LeftAnti") for p in joined) >= 3  # settled keys, a compacted run and a new one
-    counted = [p for p in plans if "partial_count" in p]  # compactions sum
-    assert len(counted) == line_dedup.BATCHES and all(p.count("Exchange") == 1 for p in counted)
 
 
 # --- shards
