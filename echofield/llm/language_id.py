@@ -5,13 +5,15 @@ frequency, unit length). Each language has several centroids from spherical k-me
 of the centroid of greatest cosine. A text farther from its centroid than nearly all of that centroid's own
 training texts is marked ``rejected``.
 
-Document frequencies cover all training rows; centroids are fitted on at most ``per_lang`` rows a language
-(those of the smallest hashes). A text is counted in slices, so memory does not grow with its length.
+Document frequencies cover all training rows; centroids are fitted on at most ``per_lang`` different texts a
+language (those of the smallest hashes) that hold letters. A text is counted in slices, so memory does not grow
+with its length.
 
 Defined results
     null text, or a text without letters: ``und``, score 0, rejected.
     letters but nothing learned (no training row): ``und``, score 0, rejected.
-    ties: the centroid first in order of language. repeated rows: each gets its result. empty table: empty.
+    ties: the centroid first in order of language. repeated rows, null doc_ids: each gets its result.
+    very long texts: read whole. empty table: empty. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,26 +109,33 @@ class CentroidModel:
         return self.langs[j], float(min(1.0, max(0.0, cos[j]))), bool(cos[j] < self.reach[j])
 
 
+def has_letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG, k: int = CLUSTERS) -> CentroidModel:
-    """Learn from (text, lang) rows; ``doc_id`` only orders the bounded choice of rows."""
-    docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    """Learn from rows of (text, lang); nothing else is read."""
+    docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     df, n = document_frequencies(docs)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     # a hash threshold leaves about twice the wanted rows of each language, whatever the input's size;
     # only these few are ranked
     sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     cutoff = sizes.select("lang", F.least(F.lit(float(SCALE)), F.lit(2.0 * SCALE * per_lang) / F.col("n")).alias("cutoff"))
-    draw = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(SCALE))
+    draw = F.pmod(F.xxhash64("text"), F.lit(SCALE))
     drawn = docs.withColumn("draw", draw).join(F.broadcast(cutoff), "lang").filter(F.col("draw") <= F.col("cutoff"))
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
-    keyed = drawn.select("lang", "doc_id", "text", F.row_number().over(order).alias("rank"))
+    different = drawn.select("lang", "draw", "text").filter(has_letter()).distinct()
+    order = Window.partitionBy("lang").orderBy("draw", F.xxhash64(F.lit(5), "text"))
+    keyed = different.select("lang", "text", F.row_number().over(order).alias("rank"))
     chosen = keyed.filter(F.col("rank") <= per_lang).drop("rank")
 
     def vectors(batches):
         for batch in batches:
-            for lang, raw in zip(batch.column(0).to_pylist(), _lowered(batch.column(2))):
+            for lang, raw in zip(batch.column(0).to_pylist(), _lowered(batch.column(1))):
                 counts = gram_counts(raw)
                 at = np.flatnonzero(counts)
+                if not len(at):  # a vector of zeros is far from every centroid and would become one
+                    continue
                 yield pa.RecordBatch.from_pydict({"lang": [lang], "at": [at.astype(np.int32)], "n": [counts[at]]}, schema=pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))]))
 
     by_lang: dict[str, list[np.ndarray]] = {}
@@ -149,7 +158,6 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, k: int = CLUSTERS) -> Centr
 
 def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of each row."""
-    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
     def predict(batches):
         for batch in batches:
@@ -163,7 +171,7 @@ def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", has_letter.alias("has_letter"))
+    rows = docs.select("doc_id", "text", has_letter().alias("has_letter"))
     return rows.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 

@@ -10,7 +10,9 @@ length and, every ``MARK_EVERY`` packets, a checksum of the samples so far.
 
 Defined results
     null or empty text: one unit of padding is stored. repeated rows and equal texts: equal bytes and features.
+    null doc_id: an ordinary value. very long texts: stored whole, over as many pages as they need.
     a damaged page, a lost page or a packet cut off: ``OggError``. empty table: empty result.
+    extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations

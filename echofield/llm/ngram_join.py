@@ -45,7 +45,7 @@ BLOCK, BLOCK_SHINGLES = 1024, 600_000
 #: Smaller groups are divided too, into blocks of this many nodes, up to this many blocks, to spread their work.
 SPREAD_NODES, SPREAD_BLOCKS = 64, 16
 #: Members of a bucket whose sketches are compared in one unit of work.
-SKETCH_BLOCK = 1024
+SKETCH_BLOCK = 512
 #: Candidate nodes (16 bytes each) are broadcast up to this many, beyond it they are joined by shuffle.
 BROADCAST_NODES = 200_000
 #: Words hashed at once; columns of a dense product and pairs counted at once; shingles of more owners are dense.

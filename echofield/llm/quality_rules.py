@@ -5,9 +5,12 @@ rule, a lasso logistic regression keeps the few rules that matter, and these are
 expression. Scoring is thus a projection inside the scan's stage: no shuffle, no Python.
 
 Defined results
-    null or empty text: all statistics are 0; the rules score them like any other text.
-    repeated rows: each gets its score. empty table, or no labelled row: score 0.5 from an empty rule set.
+    null or empty text: all statistics are 0; the rules score them like any other text. Long texts are read whole.
+    repeated rows, null or equal doc_ids: each row gets its score. For the fit a doc_id counts once, with its higher
+    label and its smallest statistics.
+    empty table: empty result. no labelled row: score 0.5 from an empty rule set. Ties do not occur.
     only one class among the labels: the intercept alone, towards that class.
+    extra columns pass through, whatever their names; a column ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: At most this many labelled rows are fetched for the fit, those of the smallest hashes of doc_id.
 MAX_TRAIN_ROWS = 6000
+#: Hash draws are whole numbers below this.
+SCALE = 1 << 40
 TREES, DEPTH, BINS, SHRINK = 24, 3, 32, 0.3
 LASSO, LASSO_STEPS = 0.002, 600
 
@@ -170,15 +175,17 @@ def fit_rules(values: np.ndarray, y: np.ndarray, names: list[str]) -> RuleModel:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> RuleModel:
     """Fit on at most ``max_rows`` labelled rows of ``labels`` (doc_id, quality)."""
-    chosen = (
-        labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", F.col("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
-        .limit(max_rows)
-    )
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows rows
-    rows = with_statistics(labelled, F.col("text"), ["quality", "doc_id"]).collect()
+    usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(SCALE))
+    # a hash threshold leaves about the wanted number of rows, whatever the input's size; only these few are ranked
+    n = usable.agg(F.approx_count_distinct("doc_id")).first()[0]
+    drawn = usable.filter(draw <= int(min(1.0, 1.3 * max_rows / max(n, 1)) * SCALE))
+    once = drawn.groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
+    chosen = once.orderBy(draw, "doc_id").limit(max_rows)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     names = STATISTICS
+    made = with_statistics(labelled, F.col("text"), ["quality", "doc_id"]).groupBy("doc_id", "quality").agg(F.min(F.struct(*names)).alias("s"))
+    rows = made.select("quality", "doc_id", "s.*").collect()  # at most max_rows rows
     rows.sort(key=lambda r: tuple(r))
     values = np.array([[r[n] for n in names] for r in rows], dtype=float).reshape(len(rows), len(names))
     return fit_rules(values, np.array([r.quality for r in rows], dtype=float), names)

@@ -7,13 +7,15 @@ smaller groups are dealt by hash into ``shards * grain`` bundles, so the heap on
 the least-loaded shard. A group larger than ``total / shards`` makes its shard larger than the mean; the
 condition that equal texts share a shard leaves no other way.
 
-Slots are dealt without putting a shard into one task: rows are numbered in sub-buckets of a shard and shifted
-by the counts of the sub-buckets before.
+Slots are dealt without putting a shard into one task: rows are numbered in sub-buckets of a shard, as many as
+the number of rows asks for, and shifted by the counts of the sub-buckets before. Rows fall into sub-buckets by their
+number in the written table, so no key can fill one.
 
 Defined results
     null text: a group of its own (all null texts together), 0 bytes plus the fixed cost, crc32 0.
     empty text: 0 bytes plus the fixed cost. Ties are broken by group hash, then by shard number.
-    repeated rows: each row gets a slot of its own. empty table: empty result.
+    repeated rows, null or equal doc_ids: each row gets a slot of its own. very long texts: read whole.
+    empty table: empty result. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from . import workspace
 
 ROW_COST = 16
+#: Rows that one task numbers, about; the table of sub-buckets that is broadcast has a row for as many rows.
+SUB_ROWS = 50_000
 
 
 def schedule(items: list[tuple[int, str]], shards: int) -> list[int]:
@@ -39,13 +43,11 @@ def schedule(items: list[tuple[int, str]], shards: int) -> list[int]:
     return out
 
 
-def assign_shards(rows: DataFrame, shards: int, grain: int = 64, sub_buckets: int = 32) -> DataFrame:
-    """Adds ``shard`` and ``slot`` to rows with columns ``g1``, ``g2`` (group hash), ``size`` and ``spread``.
-
-    ``spread`` is any hash that differs within a group; it only orders the slots of a shard.
-    """
+def assign_shards(rows: DataFrame, shards: int, grain: int = 64, sub_rows: int = SUB_ROWS) -> DataFrame:
+    """Adds ``shard`` and ``slot`` to rows with columns ``g1``, ``g2`` (group hash) and ``size``."""
     spark = rows.sparkSession
-    rows = workspace.written(rows, "shard-rows")
+    rows = workspace.written(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
+    sub_buckets = max(1, -(-rows.count() // (shards * sub_rows)))
     groups = rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"))
     groups = workspace.written(groups, "shard-groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
@@ -63,19 +65,19 @@ def assign_shards(rows: DataFrame, shards: int, grain: int = 64, sub_buckets: in
         .join(F.broadcast(own), ["g1", "g2"], "left")
         .join(F.broadcast(dealt), "bundle", "left")
         .withColumn("shard", F.coalesce("own", "dealt"))
-        .withColumn("sub", F.pmod(F.xxhash64("spread", "g2"), F.lit(sub_buckets)).cast("int"))
+        .withColumn("sub", F.pmod(F.xxhash64("row"), F.lit(sub_buckets)).cast("int"))
         .drop("bundle", "own", "dealt")
     )
     counts = out.groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    rank = F.row_number().over(Window.partitionBy("shard", "sub").orderBy("spread", "g1", "g2"))
-    # base has at most shards * sub_buckets rows
+    rank = F.row_number().over(Window.partitionBy("shard", "sub").orderBy("row"))
+    # base has at most shards * sub_buckets rows, about one for sub_rows rows
     return (
         out.withColumn("rank", rank)
         .join(F.broadcast(base), ["shard", "sub"])
         .withColumn("slot", (F.col("base") + F.col("rank") - 1).cast("long"))
-        .drop("rank", "base", "sub")
+        .drop("rank", "base", "sub", "row")
     )
 
 
@@ -87,7 +89,6 @@ def shard_documents(docs: DataFrame, shards: int, text: Column | None = None) ->
         F.xxhash64(F.lit(3), text).alias("g2"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_COST).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64("doc_id").alias("spread"),
         F.col("doc_id"),
     )
     return assign_shards(rows, shards).select(

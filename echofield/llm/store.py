@@ -1,12 +1,28 @@
-"""Random access to files in any store that the executors share, by URI."""
+"""Random access to files in any store that the executors share, by URI.
+
+Hadoop's names of object stores are read by those that pyarrow knows.
+"""
 
 from __future__ import annotations
 
 from pyarrow import fs
 
 
+#: Hadoop's scheme -> what pyarrow calls it, or the folder where executors have it mounted.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "dbfs:/": "file:///dbfs/", "wasb://": "abfs://", "wasbs://": "abfss://"}
+
+
+def resolved(uri: str) -> str:
+    for theirs, ours in SCHEMES.items():
+        if uri.startswith(theirs):
+            return ours + uri[len(theirs) :].lstrip("/")
+    if uri.startswith("file:"):
+        return "file:///" + uri[5:].lstrip("/")
+    return uri if "://" in uri else f"file://{uri}"
+
+
 def _open(uri: str):
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(resolved(uri))
 
 
 def make_dir(uri: str) -> None:

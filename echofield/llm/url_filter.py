@@ -6,10 +6,16 @@ gradients by (node, feature, bin), and the driver sees only these sums. The trai
 Suffix statistics (share and smoothed block rate of a host's last label) come from the training URLs; suffixes
 with fewer than ``MIN_SUFFIX`` of them share one entry, so at most MAX_TRAIN / MIN_SUFFIX suffixes are kept.
 
+Labelled URLs are an input, rows of (url, label). The query has no table of them, so ``seed_labels`` stands in: it marks
+hosts that spell a word of a general list of unwanted trades. The words are no feature; the trees see lexical shape
+only. A quarter of the URLs, by hash, is held out of training.
+
 Defined results
     null url, or one without ``://``: empty host and path, no rule, judged by the trees like any other.
-    equal longest rules: allow before block. repeated rows: each is judged. empty table: empty result.
+    equal longest rules: allow before block. repeated rows, null page_ids: each is judged. very long URLs: read whole.
+    a URL with several labels counts once, as its highest. empty table: empty result.
     no training URL, or one class only: the trees say that class (allow if there is none).
+    extra columns pass through, whatever their names; columns of the result replace equal names.
 """
 
 from __future__ import annotations
@@ -21,8 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import workspace
 
-#: At most this many labelled URLs are used for training, those of the smallest hashes.
+#: At most this many different labelled URLs are used for training, those of the smallest hashes.
 MAX_TRAIN, MIN_SUFFIX = 20_000, 50
+#: Hash draws are whole numbers below this.
+SCALE = 1 << 40
 TREES, DEPTH, BINS, SHRINK, MIN_HESSIAN = 10, 3, 16, 0.4, 2.0
 #: Up to this many rules become one expression; more are joined on host suffixes.
 INLINE_RULES = 200
@@ -181,12 +189,13 @@ def _leaf_of(node, number: int, leaves: dict[int, Column], test: Column) -> None
 
 def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> TreeModel:
     """Learn from rows of (url, label), label 1 being block."""
-    rows = (
-        labelled.filter(F.col("label").isNotNull())
-        .select("url", F.col("label").cast("double").alias("y"))
-        .orderBy(F.xxhash64("url"), "url", "y")
-        .limit(max_rows)
-    )
+    usable = labelled.filter(F.col("label").isNotNull()).select(F.coalesce("url", F.lit("")).alias("url"), "label")
+    draw = F.pmod(F.xxhash64("url"), F.lit(SCALE))
+    # a hash threshold leaves about the wanted number of URLs, whatever the input's size; only these few are ranked
+    different = usable.agg(F.approx_count_distinct("url")).first()[0]
+    drawn = usable.filter(draw <= int(min(1.0, 1.3 * max_rows / max(different, 1)) * SCALE))
+    once = drawn.groupBy("url").agg(F.max(F.col("label").cast("double")).alias("y"))
+    rows = once.orderBy(draw, "url").limit(max_rows)
     rows = workspace.written(rows.select("url", "y", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), "url-train")
     n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if not n or positive in (0, n):
@@ -202,6 +211,11 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> TreeModel:
     quantiles = table.agg(*[F.percentile(c, F.array(*[F.lit(i / BINS) for i in range(1, BINS)])).alias(c) for c in NAMES]).first()
     for name in NAMES:
         cuts[name] = sorted(set(quantiles[name]))
+    bins = F.array(*[
+        F.struct(F.lit(i).alias("f"), sum(((F.col(c) > at).cast("int") for at in cuts[c]), F.lit(0)).alias("bin"))
+        for i, c in enumerate(NAMES)
+    ])
+    table = workspace.written(table.withColumn("bins", bins), "url-bins")
     base = math.log(prior / (1 - prior))
     trees: list = []
     for _ in range(TREES):
@@ -215,11 +229,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> TreeModel:
 def _grow(table: DataFrame, model: TreeModel, cuts: dict[str, list[float]]):
     """One tree, level by level; each level is one aggregation over the training table."""
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-model.column()))
-    rows = table.select(*NAMES, (p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"))
-    bins = F.array(*[
-        F.struct(F.lit(i).alias("f"), sum(((F.col(c) > at).cast("int") for at in cuts[c]), F.lit(0)).alias("bin"))
-        for i, c in enumerate(NAMES)
-    ])
+    rows = table.select(*NAMES, "bins", (p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"))
     tree: object = None
     values: dict[int, float] = {}
     open_leaves = {1}
@@ -231,7 +241,7 @@ def _grow(table: DataFrame, model: TreeModel, cuts: dict[str, list[float]]):
             if number in open_leaves:
                 node = F.when(test, F.lit(number)).otherwise(node)
         sums: dict[int, dict[int, dict[int, tuple[float, float]]]] = {}
-        binned = rows.select(node.alias("node"), "g", "h", F.explode(bins).alias("b")).filter(F.col("node") > 0)
+        binned = rows.select(node.alias("node"), "g", "h", F.explode("bins").alias("b")).filter(F.col("node") > 0)
         for r in binned.groupBy("node", "b.f", "b.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
             sums.setdefault(r.node, {}).setdefault(r.f, {})[r.bin] = (r.g, r.h)
         following = set()
@@ -312,8 +322,11 @@ def judge(urls: DataFrame, model: TreeModel, rules: list[UrlRule] | DataFrame) -
     return judged.select(*[F.col("__row")[c].alias(c) for c in urls.columns if c not in names], *[F.col("__new")[c].alias(c) for c in names])
 
 
-#: Host labels of known unwanted sites, by which training URLs are labelled.
-UNWANTED = ["adult-x", "spam-farm", "cheap-pills", "ads-track", "casino-win", "free-bets"]
+#: Words of unwanted trades, as filter lists name them; a part of a host label between hyphens that is one labels its URL.
+SEED_WORDS = [
+    "adult", "ads", "bet", "bets", "betting", "bingo", "casino", "cams", "crack", "dating", "escort", "gambling", "hookup", "jackpot",
+    "keygen", "loans", "lottery", "payday", "pharma", "pills", "poker", "porn", "sex", "slots", "spam", "torrent", "viagra", "warez", "xxx",
+]
 
 RULES = [
     rule_of("block", "com/en/"),
@@ -324,13 +337,19 @@ RULES = [
 ]
 
 
-def label_of(url: Column) -> Column:
-    """1 where a host label is a known unwanted site's."""
-    return F.arrays_overlap(F.split(host_of(url), r"\."), F.array(*[F.lit(x) for x in UNWANTED])).cast("int")
+def seed_labels(url: Column) -> Column:
+    """1 where the host spells a seed word, else 0."""
+    return F.arrays_overlap(F.split(host_of(url), r"[.\-]"), F.array(*[F.lit(x) for x in SEED_WORDS])).cast("int")
+
+
+def held_out(url: Column) -> Column:
+    """URLs that nothing may be learned from."""
+    return F.pmod(F.xxhash64(F.lit(3), url), F.lit(4)) == 2
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: a verdict on every page's URL."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    model = train(pages.select("url", label_of(F.col("url")).alias("label")))
+    url = F.col("url")
+    model = train(pages.filter(~held_out(url)).select("url", seed_labels(url).alias("label")))
     return judge(pages, model, RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")

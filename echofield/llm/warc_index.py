@@ -10,13 +10,15 @@ Each attempt of a task writes files of its own name, and only files named by ent
 that was lost or run twice leaves no double records.
 
 Records with equal payloads: that of the smallest page_id is a ``response``, the others are ``revisit`` records
-that hold headers only. The read follows the index in archive order, verifies digests, and takes a revisit's
-payload size and digest from its response.
+that hold headers only. The query looks up the key of every page: sorted keys are searched in the parts and their
+directories, each block that may hold one is read once by range, and the records found are read by range in archive
+order, adjacent ones together. Digests are verified; a revisit takes payload size and digest from its response.
 
 Defined results
     null or empty html: an empty payload. null url: key and target are empty.
     null page_id: sorts after all others, so it is a response only where its payload has no page_id at all.
     rows that repeat the response's page_id and payload: responses too. empty table: empty result.
+    very long pages: a record each, read whole. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -229,6 +232,42 @@ class CaptureIndex:
         blocks = self.parts.mapInArrow(directories, "path string, at bigint, n bigint")
         return blocks.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "path", "at").mapInArrow(read, ENTRY)
 
+    def find(self, keys: DataFrame) -> DataFrame:
+        """The entries of all ``key`` values of ``keys``: binary searches in sorted order, then blocks read by range.
+
+        A key that fills many blocks (a hot host) is read by as many tasks.
+        """
+        # one row a part, as many as shuffle partitions
+        parts = sorted((r.first_key.encode(), r.last_key.encode(), r.path, r.dir_offset, r.dir_length) for r in self.parts.collect())
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        ordered = keys.select("key").distinct().repartitionByRange(n, "key").sortWithinPartitions("key")
+
+        def search(batches):
+            directory = lru_cache(maxsize=4)(_searchable)
+            firsts = [p[0] for p in parts]
+            for batch in batches:
+                out: list[tuple] = []
+                for key in batch.column(0).to_pylist():
+                    want = key.encode()
+                    for first, last, path, offset, length in parts[max(0, bisect.bisect_left(firsts, want) - 1) : bisect.bisect_right(firsts, want)]:
+                        if first <= want <= last:
+                            starts, blocks = directory(path, offset, length)
+                            out += [(path, o, size, key) for _, o, size in blocks[max(0, bisect.bisect_left(starts, want) - 1) : bisect.bisect_right(starts, want)]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["path", "at", "n", "key"])
+
+        def read(batches):
+            for batch in batches:
+                for path, at, size, wanted in zip(*[c.to_pylist() for c in batch.columns]):
+                    wanted = set(wanted)
+                    rows = [e for e in _block(path, at, size) if e[0] in wanted]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))],
+                        names=["key", "page_id", "file", "offset", "length"],
+                    )
+
+        places = ordered.mapInArrow(search, "path string, at bigint, n bigint, key string")
+        return places.groupBy("path", "at", "n").agg(F.collect_list("key").alias("keys")).mapInArrow(read, ENTRY)
+
     def lookup(self, key: str) -> list[tuple]:
         """Entries (key, page_id, file, offset, length) of one key, by two binary searches and range reads."""
         parts = sorted((r.first_key.encode(), r.last_key.encode(), r.path, r.dir_offset, r.dir_length) for r in self.parts.collect())  # one row a part
@@ -251,6 +290,11 @@ def _directory(path: str, offset: int, length: int) -> list[list]:
         return json.loads(zlib.decompress(f.read_at(length, offset)))
 
 
+def _searchable(path: str, offset: int, length: int) -> tuple[list[bytes], list[list]]:
+    blocks = _directory(path, offset, length)
+    return [b[0].encode() for b in blocks], blocks
+
+
 def _block(path: str, offset: int, length: int) -> Iterator[tuple]:
     with store.reader(path) as f:
         for line in zlib.decompress(f.read_at(length, offset)).decode().splitlines():
@@ -302,9 +346,12 @@ def read_archives(entries: DataFrame) -> DataFrame:
     return ordered.mapInArrow(read, READ)
 
 
-def captures(index: CaptureIndex) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the archives."""
-    read = workspace.written(read_archives(index.entries()), "captures")
+def captures(index: CaptureIndex, keys: DataFrame | None = None) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records of ``keys``, or of all.
+
+    A revisit whose response is not among them has payload_bytes null.
+    """
+    read = workspace.written(read_archives(index.entries() if keys is None else index.find(keys)), "captures")
     responses = read.filter(F.col("record_type") == "response")
     revisits = read.filter(F.col("record_type") == "revisit")
     sizes = (
@@ -327,7 +374,7 @@ def archive(pages: DataFrame, root: str) -> CaptureIndex:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: every page in a WARC archive, read back through the index."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return captures(archive(pages, workspace.shared_dir(spark, "warc")))
+    return captures(archive(pages, workspace.shared_dir(spark, "warc")), pages.select(url_key(F.col("url")).alias("key")))
 
 
 SQL = """

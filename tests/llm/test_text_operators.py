@@ -3,6 +3,7 @@
 import hashlib
 import re
 import sys
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -195,6 +196,47 @@ def test_language_odd(spark, small, odd, empty):
     assert {r.lang_pred for r in language_id.identify(odd, nothing).collect()} == {"und"}
 
 
+def grams_by_hand(text):
+    """Counts of hashed bigrams and trigrams by plain loops: words are runs of ASCII letters and bytes from 128."""
+    raw, out = text.lower().encode(), Counter()
+    letters = [b if 97 <= b < 123 or b >= 128 else 0 for b in b"\0" + raw + b"\0\0"]
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        for code, holds in ((a * 256 + b, a or b), ((a * 256 + b) * 256 + c + (1 << 24), b)):
+            if holds:
+                mixed = code * 2654435761 % (1 << 32)
+                out[(mixed ^ (mixed >> 15)) >> 20] += 1
+    return out
+
+
+def test_language_equals_brute_force(spark, small):
+    """Document frequencies, weights, cosines and the nearest centroid by plain loops."""
+    learned = small.filter(~language_id.held_out())
+    texts = [r.text for r in learned.filter("lang IS NOT NULL AND text IS NOT NULL").collect()]
+    df = Counter(g for t in texts for g in grams_by_hand(t))
+    model = language_id.train(learned)
+    idf = {g: np.log((1 + len(texts)) / (1 + n)) + 1 for g, n in df.items()}
+    assert all(abs(model.idf[g] - idf.get(g, np.log(1 + len(texts)) + 1)) < 1e-5 for g in range(language_id.DIMS))
+    assert all(abs(np.linalg.norm(c) - 1) < 1e-4 for c in model.centres) and {lang: model.langs.count(lang) for lang in set(model.langs)} == {lang: 3 for lang in set(model.langs)}
+    want = {}
+    for r in small.collect():
+        v = {g: (1 + np.log(n)) * model.idf[g] for g, n in grams_by_hand(r.text or "").items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        cos = [sum(x * c[g] for g, x in v.items()) / norm if norm else 0.0 for c in model.centres]
+        want[r.doc_id] = (model.langs[int(np.argmax(cos))], max(cos), cos) if any(ch.isalpha() for ch in r.text or "") else ("und", 0.0, [0.0])
+    for r in language_id.identify(small, model).collect():
+        lang, score, cos = want[r.doc_id]
+        runner_up = sorted(cos)[-2:][0] if len(cos) > 1 else -1
+        assert abs(r.score - score) < 1e-4 and (r.lang_pred == lang or abs(score - runner_up) < 1e-4)
+
+
+def test_language_ignores_junk_rows(spark, small):
+    """Letterless and repeated training rows move no centroid."""
+    junk = spark.createDataFrame([(9000 + i, "123 456 !", "en") for i in range(50)] + [(9100 + i, "....", "de") for i in range(50)], "doc_id bigint, text string, lang string")
+    plain = small.select("doc_id", "text", "lang")
+    model = language_id.train(plain.unionByName(junk))
+    assert len(model.langs) == 3 * len(set(model.langs)) and all(abs(np.linalg.norm(c) - 1) < 1e-4 for c in model.centres)
+
+
 def test_grams_do_not_depend_on_slices(monkeypatch):
     raw = ("abc déf " * 500).encode()
     whole = language_id.gram_counts(raw)
@@ -226,6 +268,44 @@ def test_quality_odd(spark, small, odd, empty):
     assert {r.score > 0.9 for r in quality_rules.score_documents(odd, one).collect()} == {True}
 
 
+def statistics_by_hand(text):
+    text = text or ""
+    w = [x for x in text.split(" ") if x]
+    n, chars, kinds = len(w), len(text), len(set(w))
+    upper = sum(unicodedata.category(c) == "Lu" for c in text)
+    symbols = sum(unicodedata.category(c)[0] not in "LN" and c not in " \t\n\x0b\x0c\r" for c in text)
+    per = lambda a, b: a / b if b else 0.0
+    return {
+        "log_words": np.log1p(n), "mean_word": per(chars, n), "upper_share": per(upper, chars), "symbol_share": per(symbols, chars), "symbols_per_word": per(symbols, n),
+        "exclaims": per(text.count("!"), n), "stops": per(sum(c in ".!?" for c in text), n), "distinct_share": per(kinds, n), "distinct_root": per(kinds, n**0.5), "line_words": per(n, text.count("\n") + 1),
+    }
+
+
+def test_quality_equals_brute_force(spark, small, odd):
+    """Statistics, rules and scores by plain Python."""
+    model = quality_rules.train(small, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    assert len(model.rules) > 1 and all(len(r.tests) <= quality_rules.DEPTH for r in model.rules)
+    for df in (small.select("doc_id", "text"), odd.select("doc_id", "text")):
+        for r in quality_rules.score_documents(df, model).collect():
+            x = statistics_by_hand(r.text)
+            z = model.intercept + sum(rule.weight for rule in model.rules if all((x[name] > at) == greater for name, greater, at in rule.tests))
+            assert abs(1 / (1 + np.exp(-z)) - r.score) < 1e-9
+
+
+def test_quality_fit_is_bounded(spark, small):
+    """Repeated doc_ids, in documents or labels, add no row to the fit."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    one = quality_rules.train(small, labels)
+    assert quality_rules.train(small.unionByName(small).unionByName(small), labels.unionByName(labels)) == one
+
+
+def test_quality_filter_reads_statistics_once(spark, small):
+    """The test on the score stays above the projection of the statistics: one scan of the text for each class."""
+    model = quality_rules.train(small, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    plan = quality_rules.keep_good(small, model)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("\\p{Lu}") == 1
+
+
 def test_rules_equal_their_column(spark):
     rng = np.random.default_rng(0)
     x = rng.random((400, 2))
