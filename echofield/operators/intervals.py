@@ -19,12 +19,26 @@ def causal_match(e_start: Column, e_end: Column, l_start: Column, l_end: Column,
     return (l_start - e_end <= lag_max) & (l_end - e_start >= lag_min)
 
 
-def assert_monotone(items: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The items, failing where an interval starts or ends before the one before it."""
-    w = Window.partitionBy(*keys).orderBy(order) if keys else Window.partitionBy(F.lit(0)).orderBy(order)
-    back = (F.col("start_ns") < F.lag("start_ns").over(w)) | (F.col("end_ns") < F.lag("end_ns").over(w))
+#: Items of one stretch of a timeline, which one task compares with their neighbours.
+STRETCH = 65_536
+
+
+def assert_monotone(items: DataFrame, keys: list[str], order: str, stretch: int = STRETCH) -> DataFrame:
+    """The items, failing where an interval starts or ends before the one before it; ``order`` is a whole number.
+
+    A timeline is divided into stretches of the order; each is compared within itself, and its first item with the
+    last one of the stretch before. Only those last ones, one a stretch, are lined up by key.
+    """
+    rows = items.withColumn("__stretch", F.floor(F.col(order) / stretch))
+    ends = [F.max_by(c, order).alias(f"__{c}") for c in ("start_ns", "end_ns")]
+    line = Window.partitionBy(*keys).orderBy("__stretch") if keys else Window.partitionBy(F.lit(0)).orderBy("__stretch")
+    last = rows.groupBy(*keys, "__stretch").agg(*ends)
+    last = last.select(*keys, "__stretch", *[F.lag(f"__{c}").over(line).alias(f"__{c}") for c in ("start_ns", "end_ns")])
+    w = Window.partitionBy(*keys, "__stretch").orderBy(order)
+    before = {c: F.coalesce(F.lag(c).over(w), F.col(f"__{c}")) for c in ("start_ns", "end_ns")}
+    back = (F.col("start_ns") < before["start_ns"]) | (F.col("end_ns") < before["end_ns"])
     checked = F.when(F.coalesce(back, F.lit(False)), F.raise_error(F.lit("mapped intervals move backwards")).cast("boolean")).otherwise(F.lit(True))
-    return items.withColumn("__ok", checked).filter("__ok").drop("__ok")
+    return rows.join(last, [*keys, "__stretch"]).withColumn("__ok", checked).filter("__ok").select(*items.columns)
 
 
 def causal_pairs(earlier: DataFrame, later: DataFrame, lag_min: int, lag_max: int, bucket_ns: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -117,19 +131,44 @@ def map_interval(items: DataFrame, semantics: str = "frame_start") -> DataFrame:
     })
 
 
+def _wide_product(a: Column, b: Column) -> tuple[Column, Column]:
+    """(high, low) of a product of two unsigned 64-bit numbers, which may have 39 digits, in base 10^10."""
+    base = F.lit(10**10).cast("decimal(20,0)")
+    high, low = F.call_function("div", b, base).cast("decimal(20,0)"), (b % base).cast("decimal(20,0)")
+    lower = (a * low).cast(WIDE)
+    carried = F.call_function("div", lower, base).cast(WIDE)
+    return ((a * high).cast(WIDE) + carried).cast(WIDE), (lower - carried * base).cast(WIDE)
+
+
 def validate_segments(segments: DataFrame, keys: tuple[str, ...] = ("source_id",)) -> DataFrame:
-    """The segments with ``problem``: null, or why a segment contradicts itself or the one before it."""
+    """The segments with ``problem``: null, or why a segment contradicts itself or the one before it.
+
+    Times at a boundary are compared exactly: whole nanoseconds first, then the fractions crosswise.
+    """
     w = Window.partitionBy(*keys).orderBy("start_tick", "end_tick")
-    rows = segments.withColumns({"__end": nominal(F.col("end_tick")), "__start": nominal(F.col("start_tick"))})
-    prev = {c: F.lag(c).over(w) for c in ("end_tick", "__end", "scale_den")}
-    wide = lambda c: c.cast("double")
+    den = F.col("scale_den").cast("decimal(20,0)")
+
+    def mapped(tick: str) -> tuple[Column, Column]:
+        d = lambda name: F.col(name).cast("decimal(20,0)")
+        moved = ((d(tick) - d("source_origin_tick")) * d("scale_num")).cast(WIDE)
+        whole = floor_div(moved, den)
+        return (d("host_origin_ns") + whole).cast(WIDE), (moved - whole * den).cast("decimal(20,0)")
+
+    made = {"__den": den}
+    for name, tick in (("start", "start_tick"), ("end", "end_tick")):
+        made[f"__{name}"], made[f"__{name}_rest"] = mapped(tick)
+    rows = segments.withColumns(made)
+    prev = {c: F.lag(c).over(w) for c in ("end_tick", "__end", "__end_rest", "__den")}
+    here, there = _wide_product(F.col("__start_rest"), prev["__den"]), _wide_product(prev["__end_rest"], F.col("__den"))
+    less = (here[0] < there[0]) | ((here[0] == there[0]) & (here[1] < there[1]))
+    backwards = (F.col("__start") < prev["__end"]) | ((F.col("__start") == prev["__end"]) & less)
     problem = (
         F.when(F.col("start_tick") >= F.col("end_tick"), "empty")
         .when(~F.col("source_origin_tick").between(F.col("start_tick"), F.col("end_tick") - 1), "origin outside")
         .when(F.col("start_tick") < prev["end_tick"], "overlap")
-        .when(wide(F.col("__start")) * wide(prev["scale_den"]) < wide(prev["__end"]) * wide(F.col("scale_den")), "moves backwards")
+        .when(backwards, "moves backwards")
     )
-    return rows.withColumn("problem", problem).drop("__end", "__start")
+    return rows.withColumn("problem", problem).drop(*made)
 
 
 def accepted_items(items: DataFrame, ends: DataFrame, keys: tuple[str, ...] = ("session_id", "source_id")) -> DataFrame:

@@ -71,6 +71,7 @@ class CascadeFrame:
 class RadarProfile:
     """Chirp waveform of one profile."""
 
+    # The default profile is the board's published one.
     start_frequency_hz: float = 60e9
     frequency_slope_hz_per_s: float = 60.012e12
     adc_sample_rate_hz: float = 4.4e6

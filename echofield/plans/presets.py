@@ -22,6 +22,7 @@ from .contracts import (
     Scenery,
     Subarray,
     VirtualArray,
+    require,
 )
 
 # Fixed values: (azimuth, elevation) of transmitters and receivers in half wavelengths, from the boards' data sheets.
@@ -68,9 +69,17 @@ def iwr6843_profile(**changes) -> RadarProfile:
     return RadarProfile(**changes)
 
 
-def range_doppler(profile: RadarProfile | None = None, layout: str = "iq_interleaved", window: str = "hann", remove_dc: bool = False, tx_order=(0, 2, 1), **more) -> RangeDopplerRecipe:
+def range_doppler(
+    profile: RadarProfile | None = None, layout: str = "iq_interleaved", window: str = "hann", remove_dc: bool = False,
+    tx_order: tuple[int, ...] = (0, 2, 1), doppler_window: str | None = None, **more,
+) -> RangeDopplerRecipe:
+    """One-sided range FFT over all samples, shifted Doppler FFT over all chirps of a transmitter."""
     p = profile or iwr6843_profile()
-    return RangeDopplerRecipe(p.adc_frame(layout), Fft(window=window, remove_dc=remove_dc), Fft(window=window, fftshift=True), virtual_array(tx_order=tx_order), **more)
+    require(p.num_rx == 4, "the board has four receivers")
+    require(p.num_tx == len(tx_order), "the transmitter order contradicts the profile")
+    ranges = Fft(p.num_adc_samples, window, one_sided=True, remove_dc=remove_dc)
+    doppler = Fft(p.num_chirps_per_tx, doppler_window or window, fftshift=True)
+    return RangeDopplerRecipe(p.adc_frame(layout), ranges, doppler, virtual_array(tx_order=tx_order), **more)
 
 
 def _point_cloud(detection: DetectionRecipe, profile: RadarProfile | None) -> PointCloudRecipe:
@@ -78,18 +87,29 @@ def _point_cloud(detection: DetectionRecipe, profile: RadarProfile | None) -> Po
     return PointCloudRecipe(detection, p.projection(True, p.num_chirps_per_tx, True))
 
 
-def detection(threshold: float, profile: RadarProfile | None = None, angle_bins: int = 64, tx_order=(0, 2, 1), **more) -> DetectionRecipe:
-    return DetectionRecipe(range_doppler(profile, tx_order=tx_order, **more), PeakDetection(threshold), angle=Fft(angle_bins, "hann", True), azimuth=azimuth_row(tx_order))
+def detection(
+    threshold: float, profile: RadarProfile | None = None, elevation: bool = False, angle_bins: int = 64, angle_window: str = "hann",
+    peak_radius: int = 1, peak_strict: bool = True, tx_order: tuple[int, ...] = (0, 2, 1), **more,
+) -> DetectionRecipe:
+    """Peaks above a threshold, and their angles: with ``elevation`` both of them, else azimuth alone."""
+    return DetectionRecipe(
+        range_doppler(profile, tx_order=tx_order, **more), PeakDetection(threshold, azimuth_peak_radius=peak_radius, azimuth_peak_strict=peak_strict),
+        angle=Fft(angle_bins, angle_window, True), azimuth=azimuth_row(tx_order), elevation=elevation_row(tx_order) if elevation else None,
+    )
 
 
 def point_cloud(threshold: float, profile: RadarProfile | None = None, **more) -> PointCloudRecipe:
+    """Points of a threshold; with ``elevation=True`` they have three coordinates."""
     return _point_cloud(detection(threshold, profile, **more), profile)
 
 
-def cfar_point_cloud(cfar: RangeDopplerCfar, grouping: PeakGrouping | None = None, profile: RadarProfile | None = None, min_snr: float | None = None, elevation: bool = False, angle_bins: int = 64, tx_order=(0, 2, 1), **more) -> PointCloudRecipe:
-    """With ``elevation``, points have three coordinates."""
+def cfar_point_cloud(
+    cfar: RangeDopplerCfar, grouping: PeakGrouping | None = None, profile: RadarProfile | None = None, min_snr: float | None = None,
+    elevation: bool = False, angle_bins: int = 64, angle_window: str = "hann", tx_order: tuple[int, ...] = (0, 2, 1), **more,
+) -> PointCloudRecipe:
+    """Points of CFAR cells; with ``elevation`` they have three coordinates."""
     found = DetectionRecipe(
-        range_doppler(profile, tx_order=tx_order, **more), None, "cfar", cfar, grouping, min_snr, Fft(angle_bins, "hann", True),
+        range_doppler(profile, tx_order=tx_order, **more), None, "cfar", cfar, grouping, min_snr, Fft(angle_bins, angle_window, True),
         azimuth_row(tx_order), elevation_row(tx_order) if elevation else None,
     )
     return _point_cloud(found, profile)
@@ -97,6 +117,7 @@ def cfar_point_cloud(cfar: RangeDopplerCfar, grouping: PeakGrouping | None = Non
 
 def people_counting() -> tuple[TrackerSpec, Dbscan, float]:
     """Tracker, clustering and match distance of the public people-counting example."""
+    # Fixed values of that example.
     tracker = TrackerSpec(
         Dynamics(0.05, (0.1, 0.1)),
         Gating(1.5, 2.0),

@@ -302,6 +302,38 @@ def _(spark, sf_dir):
     return I.validate_segments(clock_items(spark, sf_dir)[1]).select("start_tick", "problem")
 
 
+_EPOCH_SQL = """WITH k AS (SELECT c_custkey::HUGEINT AS k, 1700000000000000000 + c_custkey::HUGEINT * 1000003 AS h, 1 + (c_custkey * 7919) % 1000000 AS d1, 1 + (c_custkey * 104729) % 1000000 AS d2 FROM customer),
+seg AS (
+  SELECT 2 * k AS source_id, 0::HUGEINT AS st, d1 * 1000 AS en, 0::HUGEINT AS o, h, d1 + k % 7 AS num, d1 AS den FROM k
+  UNION ALL SELECT 2 * k, d1 * 1000, d1 * 1000 + 100, d1 * 1000, h + (d1 + k % 7) * 1000 - (k % 3 = 0)::INT, d2 + 1, d2 FROM k
+  UNION ALL SELECT 2 * k + 1, 0, 777, 0, h, d1 + k % 7, d1 FROM k
+  UNION ALL SELECT 2 * k + 1, 777, 900, 777 + k % 5, h + (777 * (d1 + k % 7)) // d1 + k % 5 + k % 2, d2 + 1, d2 FROM k)
+SELECT source_id::BIGINT AS source_id, st::BIGINT AS start_tick,
+  CASE WHEN (h * den + (st - o) * num) * lag(den) OVER w < lag(h * den + (en - o) * num) OVER w * den THEN 'moves backwards' END AS problem
+FROM seg WINDOW w AS (PARTITION BY source_id ORDER BY st)"""
+
+
+@query("clock_segment_validation_epoch", _EPOCH_SQL)
+def _(spark, sf_dir):
+    """Continuous, nearly continuous and backward boundaries of segments with nanosecond-epoch origins and large scales."""
+    k, h, d1, d2 = (F.col(c) for c in ("k", "h", "d1", "d2"))
+    key = F.col("c_custkey").cast("bigint")
+    rows = read(spark, sf_dir, "customer").select(
+        key.alias("k"), (F.lit(1700000000000000000) + key * 1000003).alias("h"), (1 + (key * 7919) % 1000000).alias("d1"), (1 + (key * 104729) % 1000000).alias("d2")
+    )
+    names = ("source_id", "start_tick", "end_tick", "source_origin_tick", "host_origin_ns", "scale_num", "scale_den")
+    n1 = d1 + k % 7
+    zero = F.lit(0).cast("bigint")
+    made = [
+        (2 * k, zero, d1 * 1000, zero, h, n1, d1),
+        (2 * k, d1 * 1000, d1 * 1000 + 100, d1 * 1000, h + n1 * 1000 - (k % 3 == 0).cast("int"), d2 + 1, d2),
+        (2 * k + 1, zero, F.lit(777).cast("bigint"), zero, h, n1, d1),
+        (2 * k + 1, F.lit(777).cast("bigint"), F.lit(900).cast("bigint"), 777 + k % 5, h + F.floor(777 * n1 / d1) + k % 5 + k % 2, d2 + 1, d2),
+    ]
+    segments = rows.select(F.inline(F.array(*[F.struct(*[c.cast("bigint").alias(n) for c, n in zip(row, names)]) for row in made])))
+    return I.validate_segments(segments).select("source_id", "start_tick", "problem")
+
+
 @query("commit_accepted_items", """WITH it AS (SELECT user_id AS source_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS item_index FROM events),
 en AS (SELECT c_custkey AS source_id, (c_custkey % 40) AS n FROM customer WHERE c_custkey % 3 <> 0)
 SELECT it.source_id, event_id, item_index FROM it JOIN en USING (source_id) WHERE item_index < n""")

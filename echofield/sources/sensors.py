@@ -142,11 +142,24 @@ class Session:
         sides = []
         for s in (earlier, later):
             rows = self.timeline(spark, s).select("id", F.col("start_ns").cast("bigint").alias("start_ns"), F.col("end_ns").cast("bigint").alias("end_ns"))
-            sides.append(assert_monotone(rows, [], "id"))
+            sides.append(assert_monotone(rows, [], "id"))  # a timeline's neighbours by stretches of items
         return causal_pairs(*sides, lag_min_ns, lag_max_ns, bucket_ns)
 
-    def revalidate(self) -> None:
+    def check_events(self, spark: SparkSession) -> None:
+        """Items name known events, as often as their source's cardinality allows; indices are counted by executors."""
+        known = self.events(spark)
+        counts = {s["source_id"]: {} for s in self.record["sources"]}
+        for source, of_source in counts.items():
+            items = self.items(spark, source).filter(F.col("sync_event_id").isNotNull()).select("sync_event_id")
+            require(items.join(known, "sync_event_id", "left_anti").limit(1).count() == 0, "an item names an unknown event")
+            for r in items.groupBy("sync_event_id").agg(F.count(F.lit(1)).alias("n")).collect():  # at most one row an event
+                of_source[int(r.sync_event_id)] = r.n
+        check_cardinalities(self.record, counts)
+
+    def revalidate(self, spark: SparkSession | None = None) -> None:
         check_session(self.path, self.record)
+        if spark is not None:
+            self.check_events(spark)
 
 
 TOTALS = {
@@ -167,8 +180,92 @@ def check_session(path: str, record: dict) -> None:
             require(sha256_of(name) == a["sha256"], f"{a['path']} has another digest")
 
 
-def open_session(path: str, schema: str | None = None, with_artifacts: bool = True) -> Session:
-    """Open a session directory; without artifacts only ``session.json`` is read and checked."""
+U64 = (1 << 64) - 1
+SEMANTICS = {"radar": ("frame_start",), "camera": ("exposure_midpoint", "delivery_observed")}
+
+
+def _mapped(segment: dict, tick: int) -> int:
+    """The host time of a tick times the segment's denominator; whole numbers of any length."""
+    return segment["host_origin_ns"] * segment["scale_den"] + (tick - segment["source_origin_tick"]) * segment["scale_num"]
+
+
+def check_clock(source: dict) -> None:
+    """Observations and segments of a source: ranges, cover, order at boundaries, the domain, and delivery anchors."""
+    clock, name = source["clock"], source["source_id"]
+    wrap = clock["wrap_ticks"]
+    require(0 <= wrap <= U64 and wrap != 1, f"{name}: a clock wraps at none or more than one tick")
+    seen: dict[str, tuple[int, dict]] = {}
+    for o in source.get("clock_observations", []):
+        require(all(0 <= o[k] <= U64 for k in ("tick", "wrap_count", "host_before_ns", "host_after_ns")), f"{name}: an observation out of range")
+        require(o["wrap_count"] == 0 if wrap == 0 else o["tick"] < wrap, f"{name}: an observation contradicts the wrap")
+        require(o["host_before_ns"] <= o["host_after_ns"], f"{name}: an observation ends before it starts")
+        require(o["observation_id"] not in seen, f"{name}: two observations share an id")
+        seen[o["observation_id"]] = (o["wrap_count"] * wrap + o["tick"], o)
+    before = None
+    for s in source["affine_segments"]:
+        ids, den = s["observation_ids"], s["scale_den"]
+        start, end = s["start_unwrapped_tick"], s["end_unwrapped_tick"]
+        require(all(0 <= s[k] <= U64 for k in ("start_unwrapped_tick", "end_unwrapped_tick", "source_origin_tick", "host_origin_ns", "uncertainty_ns")), f"{name}: a segment out of range")
+        require(1 <= s["scale_num"] <= U64 and 1 <= den <= U64, f"{name}: a scale out of range")
+        require(bool(ids) and len(set(ids)) == len(ids) and set(ids) <= set(seen), f"{name}: a segment needs its own, known observations")
+        require(start < end, f"{name}: an empty segment")
+        require(start <= s["source_origin_tick"] < end, f"{name}: an origin outside its segment")
+        slack = s["uncertainty_ns"] * den
+        for tick, o in (seen[i] for i in ids):
+            require(start <= tick < end, f"{name}: an observation outside its segment")
+            at = _mapped(s, tick)
+            require(at - slack <= o["host_before_ns"] * den and at + slack >= o["host_after_ns"] * den, f"{name}: an observation that its segment's uncertainty does not cover")
+        if before is not None:
+            require(start >= before["end_unwrapped_tick"], f"{name}: overlapping segments")
+            require(_mapped(s, start) * before["scale_den"] >= _mapped(before, before["end_unwrapped_tick"]) * den, f"{name}: time moves backwards at a segment's start")
+        require(_mapped(s, start) - slack >= 0 and _mapped(s, end) + slack <= U64 * den, f"{name}: a segment leaves the unsigned 64-bit time")
+        before = s
+    if clock["timestamp_semantics"] == "delivery_observed":
+        _check_delivery(source, seen)
+
+
+def _check_delivery(source: dict, seen: dict[str, tuple[int, dict]]) -> None:
+    """Sources timed on delivery map their ticks to host time as they are, from one exact anchor."""
+    name, segments = source["source_id"], source["affine_segments"]
+    c = source["clock"]
+    require((c["clock_id"], c["tick_hz"], c["wrap_ticks"]) == (f"{name}-delivery-observed", 10**9, 0), f"{name}: delivery is counted in host nanoseconds")
+    if source["item_count"] == 0:
+        require(not seen and not segments, f"{name}: no item, so no clock mapping")
+        return
+    anchor = f"{name}-delivery-anchor"
+    require(set(seen) == {anchor}, f"{name}: delivery needs its one anchor")
+    tick, o = seen[anchor]
+    require(o["wrap_count"] == 0 and o["host_before_ns"] == tick == o["host_after_ns"], f"{name}: an anchor that is not exact")
+    require(len(segments) == 1, f"{name}: delivery has one identity segment")
+    s = segments[0]
+    same = all(s[k] == tick for k in ("start_unwrapped_tick", "source_origin_tick", "host_origin_ns"))
+    require(same and (s["scale_num"], s["scale_den"], s["uncertainty_ns"]) == (1, 1, 0), f"{name}: delivery has one identity segment")
+
+
+def check_cardinalities(record: dict, counts: dict[str, dict[int, int]]) -> None:
+    """Counts of items by source and event against the sources' bounds and the session's grade."""
+    events = {e["sync_event_id"] for e in record["sync_events"]}
+    triggered, sets = record.get("synchronization_grade") == "external_trigger", []
+    for s in record["sources"]:
+        found, bounds = counts[s["source_id"]], s.get("sync_event_cardinality")
+        if bounds is None:
+            require(not found, "events without a cardinality")
+            require(not (triggered and s["required"]), "a triggered, required source needs a cardinality")
+            continue
+        require(0 <= bounds["min_items"] <= bounds["max_items"] and 1 <= bounds["max_items"] <= s["limits"]["max_items"], "bad cardinality bounds")
+        for event in events if bounds["required"] else found:
+            require(bounds["min_items"] <= found.get(event, 0) <= bounds["max_items"], "an event's items are outside their bounds")
+        if triggered and s["required"]:
+            require(bounds["required"], "a triggered, required source must require its events")
+            sets.append(set(found))
+    require(all(x == sets[0] for x in sets), "triggered sources differ in their events")
+
+
+def open_session(path: str, schema: str | None = None, with_artifacts: bool = True, spark: SparkSession | None = None) -> Session:
+    """Open a session directory; without artifacts only ``session.json`` is read and checked.
+
+    With ``spark``, the items' events are counted from the indices and held against the sources' cardinalities.
+    """
     path = path.rstrip("/")
     record = strict_json(read_all(f"{path}/session.json", 1 << 20))
     require(schema is None or record.get("schema") == schema, "the session has another schema")
@@ -183,6 +280,8 @@ def open_session(path: str, schema: str | None = None, with_artifacts: bool = Tr
         require(s["kind"] in ("radar", "camera") and s["outcome"] in ("complete", "failed", "omitted"), "unknown kind or outcome")
         require(not s["required"] or s["outcome"] == "complete", "a required source is not complete")
         require((s["item_count"] == 0) == (s["payload_bytes"] == 0), "items and bytes contradict each other")
+        require(s["clock"]["timestamp_semantics"] in SEMANTICS[s["kind"]], "the kind has other timestamps")
+        check_clock(s)
         require(s["item_count"] <= s["limits"]["max_items"] and s["payload_bytes"] <= s["limits"]["max_payload_bytes"], "a source beyond its limits")
     events = [e["sync_event_id"] for e in record["sync_events"]]
     require(events == sorted(set(events)), "events must be unique and increasing")
@@ -190,7 +289,10 @@ def open_session(path: str, schema: str | None = None, with_artifacts: bool = Tr
         require(record["totals"][name] == total(sources), f"{name} contradicts the sources")
     if with_artifacts:
         check_session(path, record)
-    return Session(path, record)
+    session = Session(path, record)
+    if spark is not None:
+        session.check_events(spark)
+    return session
 
 
 def radar_items_with_frames(items: DataFrame, frames: DataFrame) -> DataFrame:

@@ -156,18 +156,18 @@ def test_broadside(spark):
 @pytest.mark.parametrize("azimuth,elevation", [(0.5235987755982988, 0.0), (-0.3, 0.2)])
 def test_end_to_end_target(spark, azimuth, elevation):
     """A synthetic point target comes out at its range, velocity and direction, in both forms."""
-    profile = RadarProfile(num_adc_samples=16, num_chirps_per_tx=8)
+    profile = RadarProfile(num_adc_samples=32, num_chirps_per_tx=8)
     cfar = RangeDopplerCfar(Cfar1D(3, 1, 8.0), None)
     recipe = presets.cfar_point_cloud(cfar, PeakGrouping(), profile, 4.0, elevation=True)
     array = recipe.detection.transform.virtual
-    rng, n = np.random.default_rng(2), np.arange(16)
-    x = rng.normal(0, 1, (8, 3, 4, 16)) + 1j * rng.normal(0, 1, (8, 3, 4, 16))
+    rng, n = np.random.default_rng(2), np.arange(32)
+    x = rng.normal(0, 1, (8, 3, 4, 32)) + 1j * rng.normal(0, 1, (8, 3, 4, 32))
     u, w = math.sin(azimuth), math.sin(elevation)
     for loop in range(8):
         for t in range(3):
             for r in range(4):
                 p = array.positions[4 * t + r]
-                x[loop, t, r] += 300 * np.exp(2j * np.pi * (5 * n / 16 + (3 * loop + t) / 24 + p[0] * u + p[2] * w))
+                x[loop, t, r] += 300 * np.exp(2j * np.pi * (5 * n / 32 + (3 * loop + t) / 24 + p[0] * u + p[2] * w))
     words = np.stack([x.real, x.imag], -1).round().astype(int).ravel().tolist()
     raw = frames(spark, words)
     dense = runners.range_doppler_to_detections(DN.dense_range_doppler(raw, recipe.detection.transform), recipe.detection)
@@ -354,6 +354,13 @@ def test_monotone(spark):
     assert I.assert_monotone(intervals(spark, (0, 1), (0, 2)), [], "id").count() == 2
     with pytest.raises(Exception, match="backwards"):
         I.assert_monotone(intervals(spark, (0, 5), (1, 2)), [], "id").collect()
+    rows = [(k, i, 10 * i, 10 * i + 5) for k in ("a", "b") for i in range(50)]
+    for stretch in (1, 7, 100):
+        made = spark.createDataFrame(rows, "source_id string, id bigint, start_ns bigint, end_ns bigint")
+        assert I.assert_monotone(made, ["source_id"], "id", stretch).count() == 100
+        late = made.withColumn("start_ns", F.when((F.col("id") == 21) & (F.col("source_id") == "b"), 199).otherwise(F.col("start_ns")))
+        with pytest.raises(Exception, match="backwards"):
+            I.assert_monotone(late, ["source_id"], "id", stretch).collect()
 
 
 def test_floor_division(spark):
@@ -425,10 +432,43 @@ def test_presets():
     assert A.spacing_of(list(presets.azimuth_row().positions), 0) == 0.5
     tracker, clustering, distance = presets.people_counting()
     assert tracker.max_tracks == 20 and clustering.min_samples == 6 and distance == 1.0
+    with pytest.raises(ValueError):
+        presets.range_doppler(tx_order=(0, 2))
+    with pytest.raises(ValueError):
+        presets.range_doppler(RadarProfile(num_rx=2))
     p = RadarProfile()
     assert abs(p.range_resolution_m - p.speed_of_light_mps / 2 / (p.frequency_slope_hz_per_s * 256 / 4.4e6)) < 1e-12
 
 
+PRESETS = {
+    "range_doppler": lambda p: presets.range_doppler(p),
+    "detection": lambda p: presets.detection(1.0, p),
+    "point_cloud": lambda p: presets.point_cloud(1.0, p),
+    "point_cloud_3d": lambda p: presets.point_cloud(1.0, p, elevation=True),
+    "cfar_point_cloud": lambda p: presets.cfar_point_cloud(RangeDopplerCfar(Cfar1D(4, 1, 2.0)), profile=p),
+    "cfar_point_cloud_3d": lambda p: presets.cfar_point_cloud(RangeDopplerCfar(Cfar1D(4, 1, 2.0)), profile=p, elevation=True),
+}
+
+
+@pytest.mark.parametrize("name", PRESETS)
+@pytest.mark.parametrize("samples,chirps", [(16, 8), (256, 64)])
+def test_recipe_shapes(spark, name, samples, chirps):
+    """All six recipes: one-sided ranges, shifted Doppler over all chirps, and the angles they ask for."""
+    p = RadarProfile(num_adc_samples=samples, num_chirps_per_tx=chirps)
+    recipe = PRESETS[name](p)
+    found = getattr(recipe, "detection", recipe)
+    transform = getattr(found, "transform", found)
+    raw = spark.createDataFrame([], "capture_id int, samples array<smallint>")
+    for cube in (runners.adc_to_range_doppler(raw, transform), DN.dense_range_doppler(raw, transform)):
+        assert dict(cube.shape) == {"doppler_bin": chirps, "virtual_rx": 12, "range_bin": samples // 2 + 1}
+    assert transform.range_fft == Fft(samples, "hann", one_sided=True) and transform.doppler_fft == Fft(chirps, "hann", fftshift=True)
+    if found is not recipe or name == "detection":
+        assert (found.elevation is not None) == name.endswith("3d") and len(found.azimuth.indices) == 8 and found.angle == Fft(64, "hann", True)
+        assert (found.method == "cfar") == name.startswith("cfar")
+    if found is not recipe:
+        assert recipe.projection.doppler_bins == chirps and recipe.projection.doppler_fftshifted and recipe.projection.center_doppler
+
+
 def test_benchmark_trackers(spark):
     rows, truth = [], []
     for f in range(12):

@@ -291,27 +291,39 @@ def test_sensor_stream_damage(change):
 # --- sessions and chunks
 
 
+def segment(start, end, observations, **more):
+    return {"start_unwrapped_tick": start, "end_unwrapped_tick": end, "source_origin_tick": start, "host_origin_ns": start, "scale_num": 1, "scale_den": 1, "observation_ids": observations, "uncertainty_ns": 0} | more
+
+
+def observation(name, tick, **more):
+    return {"observation_id": name, "tick": tick, "wrap_count": 0, "host_before_ns": tick, "host_after_ns": tick} | more
+
+
 @pytest.fixture
 def session_dir(tmp_path):
+    """A radar whose clock has two segments, and a camera timed on delivery; items 0 and 2 of both carry event 7."""
     sources = []
     for name, kind, ticks, duration in (("radar-0", "radar", (0, 100, 200), 50), ("cam", "camera", (60, 140, 900), 0)):
         os.mkdir(tmp_path / name)
         body = b"".join(bytes([i]) * 3 for i in range(3))
         index = struct.pack(sensors.HEADER, b"ANYMAGIC", 1, 32, 64, 0, 3, 9)
         for i, t in enumerate(ticks):
-            index += struct.pack(sensors.ENTRY, i, 3 * i, 3, t, 0, duration, sensors.NO_EVENT, 0, 0)
+            index += struct.pack(sensors.ENTRY, i, 3 * i, 3, t, 0, duration, sensors.NO_EVENT if i == 1 else 7, 0, 0)
         artifacts = []
         for role, file, data in (("index", "index.bin", index), ("payload", "p.bin", body)):
             (tmp_path / name / file).write_bytes(data)
             artifacts.append({"role": role, "path": file, "size_bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()})
+        radar = kind == "radar"
         sources.append({
-            "source_id": name, "kind": kind, "required": kind == "radar", "outcome": "complete", "item_count": 3, "payload_bytes": 9, "artifacts": artifacts,
+            "source_id": name, "kind": kind, "required": radar, "outcome": "complete", "item_count": 3, "payload_bytes": 9, "artifacts": artifacts,
             "limits": {"max_items": 9, "max_payload_bytes": 99}, "payload": {"filename": "p.bin", "format": "raw"},
-            "clock": {"clock_id": name + "-clock", "tick_hz": 10**9, "wrap_ticks": 0, "timestamp_semantics": "frame_start" if kind == "radar" else "delivery_observed"},
-            "affine_segments": [{"start_unwrapped_tick": 0, "end_unwrapped_tick": 1000, "source_origin_tick": 0, "host_origin_ns": 0, "scale_num": 1, "scale_den": 1, "uncertainty_ns": 0}],
+            "sync_event_cardinality": {"required": True, "min_items": 1, "max_items": 2},
+            "clock": {"clock_id": name + ("-clock" if radar else "-delivery-observed"), "tick_hz": 10**9, "wrap_ticks": 0, "timestamp_semantics": "frame_start" if radar else "delivery_observed"},
+            "clock_observations": [observation("a", 10), observation("b", 150, host_before_ns=149, host_after_ns=151)] if radar else [observation("cam-delivery-anchor", 60)],
+            "affine_segments": [segment(0, 130, ["a"]), segment(130, 1000, ["b"], uncertainty_ns=1)] if radar else [segment(60, 1000, ["cam-delivery-anchor"])],
         })
     record = {
-        "session_id": "x", "host_clock": {"clock_id": "host", "tick_hz": 10**9, "wrap_ticks": 0}, "sources": sources, "sync_events": [],
+        "session_id": "x", "host_clock": {"clock_id": "host", "tick_hz": 10**9, "wrap_ticks": 0}, "sources": sources, "sync_events": [{"sync_event_id": 7}], "synchronization_grade": "external_trigger",
         "totals": {"source_count": 2, "required_source_count": 1, "complete_source_count": 2, "item_count": 6, "payload_bytes": 18},
     }
     (tmp_path / "session.json").write_text(json.dumps(record))
@@ -319,13 +331,13 @@ def session_dir(tmp_path):
 
 
 def test_session(spark, session_dir):
-    s = sensors.open_session(str(session_dir))
+    s = sensors.open_session(str(session_dir), spark=spark)
     pairs = s.causal_pairs(spark, "radar-0", "cam", 0, 20, 64).collect()
     assert {(r.earlier_id, r.later_id) for r in pairs} == {(0, 0), (1, 1)}
     assert s.sources(spark).count() == 2 and s.items(spark, "cam", payload=True).count() == 3
     with pytest.raises(ValueError):
         s.causal_pairs(spark, "cam", "cam", 0, 1, 1)
-    s.revalidate()
+    s.revalidate(spark)
     joined = sensors.radar_items_with_frames(s.items(spark, "radar-0"), spark.range(2).withColumnRenamed("id", "frame_id"))
     assert joined.count() == 2
 
@@ -342,6 +354,64 @@ def test_session_damage(session_dir):
         sensors.open_session(str(session_dir), with_artifacts=False)
 
 
+RADAR, CAM = 0, 1
+BIG = (1 << 64) - 1
+CLOCK_DAMAGE = [
+    (lambda s: s[RADAR]["affine_segments"][0].update(end_unwrapped_tick=0), "empty"),
+    (lambda s: s[RADAR]["affine_segments"][0].update(source_origin_tick=130), "origin outside"),
+    (lambda s: s[RADAR]["affine_segments"][1].update(start_unwrapped_tick=129), "overlapping"),
+    (lambda s: s[RADAR]["affine_segments"][1].update(host_origin_ns=129, uncertainty_ns=2), "backwards"),
+    (lambda s: s[RADAR]["affine_segments"][1].update(host_origin_ns=BIG, uncertainty_ns=BIG), "64-bit"),
+    (lambda s: s[RADAR]["affine_segments"][1].update(uncertainty_ns=0), "does not cover"),
+    (lambda s: s[RADAR]["affine_segments"][0].update(observation_ids=["b"]), "observation outside"),
+    (lambda s: s[RADAR]["affine_segments"][0].update(observation_ids=[]), "known observations"),
+    (lambda s: s[RADAR]["affine_segments"][0].update(observation_ids=["nobody"]), "known observations"),
+    (lambda s: s[RADAR]["affine_segments"][0].update(scale_den=0), "scale"),
+    (lambda s: s[RADAR]["clock_observations"][0].update(host_before_ns=11), "before it starts"),
+    (lambda s: s[RADAR]["clock_observations"][0].update(wrap_count=1), "wrap"),
+    (lambda s: s[RADAR]["clock_observations"].append(observation("a", 11)), "share an id"),
+    (lambda s: s[RADAR]["clock"].update(wrap_ticks=1), "wraps"),
+    (lambda s: s[RADAR]["clock"].update(timestamp_semantics="exposure_midpoint"), "other timestamps"),
+    (lambda s: s[CAM]["clock"].update(tick_hz=1000), "host nanoseconds"),
+    (lambda s: s[CAM]["clock"].update(clock_id="cam-clock"), "host nanoseconds"),
+    (lambda s: s[CAM]["affine_segments"][0].update(scale_num=2), "identity"),
+    (lambda s: s[CAM]["affine_segments"].append(segment(1000, 1001, ["cam-delivery-anchor"])), "observation outside"),
+    (lambda s: s[CAM]["clock_observations"].append(observation("other", 61)), "one anchor"),
+    (lambda s: s[CAM]["clock_observations"][0].update(host_after_ns=61) or s[CAM]["affine_segments"][0].update(uncertainty_ns=1), "not exact"),
+    (lambda s: s[CAM].update(item_count=0, payload_bytes=0), "no item"),
+]
+
+
+@pytest.mark.parametrize("case", range(len(CLOCK_DAMAGE)))
+def test_session_clock_damage(session_dir, case):
+    change, why = CLOCK_DAMAGE[case]
+    record = json.loads((session_dir / "session.json").read_text())
+    change(record["sources"])
+    (session_dir / "session.json").write_text(json.dumps(record))
+    with pytest.raises(ValueError, match=why):
+        sensors.open_session(str(session_dir), with_artifacts=False)
+
+
+EVENT_DAMAGE = [
+    (lambda r: r["sources"][RADAR]["sync_event_cardinality"].update(max_items=1), "outside their bounds"),
+    (lambda r: r["sync_events"].append({"sync_event_id": 8}), "outside their bounds"),
+    (lambda r: r.update(sync_events=[]), "unknown event"),
+    (lambda r: r["sources"][CAM].pop("sync_event_cardinality"), "without a cardinality"),
+    (lambda r: r["sources"][RADAR]["sync_event_cardinality"].update(required=False), "must require"),
+    (lambda r: r["sources"][RADAR]["sync_event_cardinality"].update(min_items=3), "cardinality bounds"),
+]
+
+
+@pytest.mark.parametrize("case", range(len(EVENT_DAMAGE)))
+def test_session_event_damage(spark, session_dir, case):
+    change, why = EVENT_DAMAGE[case]
+    record = json.loads((session_dir / "session.json").read_text())
+    change(record)
+    (session_dir / "session.json").write_text(json.dumps(record))
+    with pytest.raises(ValueError, match=why):
+        sensors.open_session(str(session_dir), spark=spark)
+
+
 @pytest.mark.parametrize("codec", ["raw", "adaptive-shuffle-zlib"])
 def test_chunks(spark, tmp_path, codec):
     rows = [("c", i, bytes([i, 0]) * 8) for i in range(10)]
