@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.complexes import cabs, pair
 from ..plans.contracts import PlanarAperture, Sparsification, require
 from .cube import Cube, partitioned
+from .dense import DenseCube
 
 #: The projection's weights are broadcast up to this many rows (about 40 bytes each), beyond it joined by shuffle.
 BROADCAST_WEIGHTS = 1_000_000
@@ -103,7 +106,7 @@ class PlanarProjector:
             F.sum(w * F.cos(angle)).alias("wr"), F.sum(w * F.sin(angle)).alias("wi")
         )
 
-    def doppler_weights(self, spark: SparkSession) -> DataFrame:
+    def doppler_rows(self) -> list[tuple[int, int, float]]:
         """(d, doppler_bin, w): linear interpolation of source bins at the target velocities inside the source axis."""
         rows = []
         for d in range(self.target_doppler_bins):
@@ -115,7 +118,10 @@ class PlanarProjector:
                 parts[high] = parts.get(high, 0.0) + (at - low)
                 rows += [(d, b, w) for b, w in parts.items()]
         require(bool(rows), "no target velocity lies on the source axis")
-        return spark.createDataFrame(rows, "d int, doppler_bin int, w double")
+        return rows
+
+    def doppler_weights(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.doppler_rows(), "d int, doppler_bin int, w double")
 
     def project(self, cube: Cube) -> DataFrame:
         """(keys..., d, z, y, x, magnitude) over the whole grid; 0 where the source has no support."""
@@ -139,6 +145,70 @@ class PlanarProjector:
         return every.join(seen, [*cube.keys, "d", "z", "y", "x"], "left").withColumn("magnitude", F.coalesce("magnitude", F.lit(0.0)))
 
 
+def _sampled(p: PlanarProjector) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Voxels with support, and for each the 8 cells (elevation, azimuth, range) around it and their weights."""
+    z, y, x = (i.reshape(-1) for i in np.indices(p.shape_zyx))
+    at = [o + c * s for c, o, s in zip((x, y, z), p.origin_xyz_m, p.voxel_xyz_m)]
+    r = np.sqrt(at[0] ** 2 + at[1] ** 2 + at[2] ** 2)
+    seen = np.flatnonzero((r > EPS32) & (at[0] >= 0))
+    na, ne = p.azimuth_n_fft, p.elevation_n_fft
+    across, up = at[1][seen] / r[seen], at[2][seen] / r[seen]
+    index = np.stack([up * (p.spacing_wavelengths * ne) + ne / 2, across * (p.spacing_wavelengths * na) + na / 2, r[seen] / p.range_resolution_m])
+    tops = np.array([ne, na, p.range_bins])[:, None] - 1
+    inside = (across**2 + up**2 <= 1 + 1e-6) & ((index >= 0) & (index <= tops)).all(axis=0)
+    seen, index = seen[inside], index[:, inside]
+    low = np.floor(index).astype(int)
+    part = index - low
+    cells, weights = [], []
+    for corner in np.ndindex(2, 2, 2):
+        side = np.array(corner)[:, None]
+        cells.append(np.minimum(low + side, tops))
+        weights.append(np.where(side == 1, part, 1 - part).prod(axis=0))
+    return seen, np.stack(cells), np.stack(weights)
+
+
+def project_dense(cube: DenseCube, projector: PlanarProjector) -> DataFrame:
+    """The same volume as ``project``, from frames as arrays: angle transforms and gathers in one Arrow stage.
+
+    A Doppler bin is transformed at a time, so a task holds one frame and one (elevation, azimuth, range) block.
+    """
+    p, axes = projector, list(cube.shape)
+    require(set(axes) == {"doppler_bin", "virtual_rx", "range_bin"}, "a cube over Doppler, channels and range is needed")
+    require(cube.shape["doppler_bin"] == p.doppler_bins and cube.shape["range_bin"] == p.range_bins, "cube and projector differ")
+    require(cube.shape["virtual_rx"] == len(p.aperture.grid), "cube and aperture differ")
+    order = tuple(axes.index(a) for a in ("doppler_bin", "virtual_rx", "range_bin"))
+    na, ne = p.azimuth_n_fft, p.elevation_n_fft
+    first: dict[tuple[int, int], int] = {}
+    for channel, cell in enumerate(p.aperture.grid):
+        first.setdefault(cell, channel)
+    used = [(channel, row, col) for (row, col), channel in first.items() if row < ne and col < na]
+    mix = np.zeros((p.target_doppler_bins, p.doppler_bins))
+    for d, b, w in p.doppler_rows():
+        mix[d, b] = w
+    seen, cells, weights = _sampled(p)
+
+    def make(x):
+        out = np.zeros((p.target_doppler_bins, p.voxels))
+        for b, one in enumerate(x.transpose(order)):
+            if not mix[:, b].any():
+                continue
+            grid = np.zeros((ne, na, p.range_bins), complex)
+            for channel, row, col in used:
+                grid[row, col] = one[channel]
+            beams = np.fft.fftshift(np.fft.fft2(grid, axes=(0, 1)), axes=(0, 1))
+            out[:, seen] += mix[:, b, None] * np.abs((beams[cells[:, 0], cells[:, 1], cells[:, 2]] * weights).sum(axis=0))
+        return [pa.array([out.reshape(-1)], pa.list_(pa.float64()))]
+
+    volumes = cube._map(make, "v array<double>", [pa.field("v", pa.list_(pa.float64()))])
+    rows = volumes.select("capture_id", "frame", F.posexplode("v").alias("i", "magnitude"))
+    _, ny, nx = p.shape_zyx
+    i = F.col("i")
+    return rows.select(
+        "capture_id", "frame", F.floor(i / p.voxels).cast("int").alias("d"), (F.floor(i / (ny * nx)) % p.shape_zyx[0]).cast("int").alias("z"),
+        (F.floor(i / nx) % ny).cast("int").alias("y"), (i % nx).cast("int").alias("x"), "magnitude",
+    )
+
+
 # --- sparse points
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.contracts import Dbscan
 
-#: Distances are formed for so many points against all others of the frame at once.
+#: Frames of up to this many points are compared point by point, larger ones cell by cell.
 ROWS = 1024
+#: Pairs of points whose distances are formed at once.
+PAIRS = 1 << 20
 
 
 def dbscan_labels(points: np.ndarray, velocity: np.ndarray | None, spec: Dbscan) -> np.ndarray:
@@ -27,11 +32,10 @@ def dbscan_labels(points: np.ndarray, velocity: np.ndarray | None, spec: Dbscan)
     if spec.velocity_scale_s > 0 and velocity is not None:
         features.append(velocity * spec.velocity_scale_s)
     x = np.stack(features, axis=1).astype(float)
-    reach = []
-    for at in range(0, n, ROWS):
-        gap = x[at : at + ROWS, None, :] - x[None, :, :]
-        reach.append((gap * gap).sum(axis=2) <= spec.eps_m**2)
-    near = np.concatenate(reach)
+    if n > ROWS:
+        return _grid_labels(x, spec)
+    gap = x[:, None, :] - x[None, :, :]
+    near = (gap * gap).sum(axis=2) <= spec.eps_m**2
     core = near.sum(axis=1) >= spec.min_samples
     label = np.where(core, np.arange(n), n)
     links = near & core[None, :]
@@ -49,6 +53,67 @@ def dbscan_labels(points: np.ndarray, velocity: np.ndarray | None, spec: Dbscan)
     return np.where(out == n, -1, out)
 
 
+def _near_pairs(x: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i before j in a cell order, of points within eps; each pair once, a bounded number at a time.
+
+    Points fall into cells of side eps, so near points are in equal or adjacent cells.
+    """
+    # cells a little longer than eps, so that rounding cannot put near points two cells apart
+    cell = np.floor((x - x.min(axis=0)) / (eps * (1 + 1e-9))).astype(np.int64)
+    order = np.lexsort(cell.T[::-1])
+    cells, starts, sizes = np.unique(cell[order], axis=0, return_index=True, return_counts=True)
+    place = {tuple(c): k for k, c in enumerate(cells.tolist())}
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=x.shape[1]) if s >= (0,) * x.shape[1]]
+    for k, c in enumerate(cells.tolist()):
+        own = order[starts[k] : starts[k] + sizes[k]]
+        around = [place[t] for s in steps if (t := tuple(a + b for a, b in zip(c, s))) in place]
+        others = np.concatenate([order[starts[m] : starts[m] + sizes[m]] for m in around])  # its own points come first
+        width = max(1, PAIRS // len(others))
+        for at in range(0, len(own), width):
+            part = own[at : at + width]
+            gap = x[part][:, None, :] - x[others][None, :, :]
+            i, j = np.nonzero((gap * gap).sum(axis=2) <= eps * eps)
+            keep = j > i + at  # within the cell, each pair once
+            yield part[i[keep]], others[j[keep]]
+
+
+def _grid_labels(x: np.ndarray, spec: Dbscan) -> np.ndarray:
+    """Labels by union-find over the pairs of core points; memory grows with the points, not with their pairs."""
+    n = len(x)
+    neighbours = np.ones(n, np.int64)
+    for i, j in _near_pairs(x, spec.eps_m):
+        neighbours += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+    core = neighbours >= spec.min_samples
+    root = np.arange(n)
+
+    def settle() -> None:
+        nonlocal root
+        while (root[root] != root).any():
+            root = root[root]
+
+    for i, j in _near_pairs(x, spec.eps_m):
+        both = core[i] & core[j]
+        i, j = i[both], j[both]
+        while len(i):
+            a, b = root[i], root[j]
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            apart = low < high
+            if not apart.any():
+                break
+            i, j = i[apart], j[apart]
+            np.minimum.at(root, high[apart], low[apart])
+            settle()
+    number = np.full(n + 1, n, np.int64)
+    firsts = np.unique(root[core])
+    number[firsts] = np.arange(len(firsts))
+    out = np.where(core, number[root], n)
+    for i, j in _near_pairs(x, spec.eps_m):
+        for border, other in ((i, j), (j, i)):
+            some = ~core[border] & core[other]
+            np.minimum.at(out, border[some], number[root[other[some]]])
+    return np.where(out == n, -1, out)
+
+
 def cluster_points(points: DataFrame, spec: Dbscan, keys: tuple[str, ...] = ("frame_id",), order: str = "point_idx") -> DataFrame:
     """(keys..., order, cluster_id): a frame is one group; frames are independent and spread over the cluster."""
     has_v = "velocity" in points.columns

@@ -108,14 +108,21 @@ def identity_switches(matches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame
     return rows.filter(F.col("previous_track_id") != F.col("track_id")).select(*by, "frame_id", "truth_id", "previous_track_id", F.col("track_id").alias("new_track_id"))
 
 
-def evaluate_tracks(predictions: DataFrame, truth: DataFrame, match_distance_m: float, confirmed_only: bool = True) -> DataFrame:
-    """One row: observations, matches, misses, false tracks, identity switches, position error, recall."""
+def evaluate_tracks(predictions: DataFrame, truth: DataFrame, match_distance_m: float, confirmed_only: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row: observations, matches, misses, false tracks, identity switches, position error, recall.
+
+    ``by`` names the captures, whose frames and ids have nothing to do with each other. Frames are matched once.
+    """
     chosen = predictions.filter(F.col("status") == "confirmed") if confirmed_only else predictions
-    matches = match_frames(predictions, truth, match_distance_m, confirmed_only)
-    switched = identity_switches(matches).agg(F.count(F.lit(1)).alias("id_switches"))
-    found = matches.agg(F.count(F.lit(1)).alias("matched"), F.sqrt(F.avg(F.col("distance") * F.col("distance"))).alias("position_rmse_m"))
-    # four tables of one row each
-    counts = truth.agg(F.count(F.lit(1)).alias("truths")).join(F.broadcast(chosen.agg(F.count(F.lit(1)).alias("tracked")))).join(F.broadcast(found)).join(F.broadcast(switched))
+    matches = match_frames(predictions, truth, match_distance_m, confirmed_only, by)
+    before = F.lag("track_id").over(Window.partitionBy(*by, "truth_id").orderBy("frame_id"))
+    found = matches.withColumn("before", before).agg(
+        F.count(F.lit(1)).alias("matched"),
+        F.sqrt(F.avg(F.col("distance") * F.col("distance"))).alias("position_rmse_m"),
+        F.count_if(F.col("before") != F.col("track_id")).alias("id_switches"),
+    )
+    # three tables of one row each
+    counts = truth.agg(F.count(F.lit(1)).alias("truths")).join(F.broadcast(chosen.agg(F.count(F.lit(1)).alias("tracked")))).join(F.broadcast(found))
     return counts.select(
         F.col("truths").alias("ground_truth_observations"),
         F.col("matched").alias("matched_observations"),
@@ -147,7 +154,7 @@ def benchmark_trackers(points: DataFrame, truth: DataFrame, spec, clustering, ma
     out = None
     for strategy, tracks in made.items():
         for confirmed in (False, True):
-            row = evaluate_tracks(tracks, truth, match_distance_m, confirmed).select(
+            row = evaluate_tracks(tracks, truth, match_distance_m, confirmed, ("capture_id",)).select(
                 F.lit(strategy).alias("strategy"), F.lit("confirmed" if confirmed else "all").alias("tracks"), "*"
             )
             out = row if out is None else out.unionByName(row)

@@ -7,6 +7,7 @@ One ``step`` serves batch and streaming: ``track_clusters`` and ``track_points``
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -307,22 +308,43 @@ def run_points(tracks: TrackSet, clustering: Dbscan, pdf: pd.DataFrame) -> list[
     return out
 
 
-def _tracked(rows: DataFrame, run, capture: str) -> DataFrame:
+def _tracked(rows: DataFrame, spec: TrackerSpec, run, capture: str, order: str) -> DataFrame:
+    """Steps over sorted rows as they stream through a task; of a capture, only its tracks and one batch are held."""
     columns = ["frame_id", *[f.split()[0] for f in TRACK_FIELDS.split(", ")]]
 
-    def per_capture(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(run(pdf), columns=columns)
-        out.insert(0, capture, pdf[capture].iloc[0])
-        return out
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, tracks, held = None, TrackSet(spec), None
+
+        def tracked(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal current, tracks
+            for name, part in pdf.groupby(capture, sort=False):
+                if name != current:
+                    current, tracks = name, TrackSet(spec)
+                out = pd.DataFrame(run(tracks, part), columns=columns)
+                out.insert(0, capture, name)
+                yield out
+
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            # the last frame may go on in the next batch
+            same = (pdf[capture] == pdf[capture].iloc[-1]) & (pdf["frame_id"] == pdf["frame_id"].iloc[-1])
+            held = pdf[same]
+            yield from tracked(pdf[~same])
+        if held is not None:
+            yield from tracked(held)
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(capture).applyInPandas(per_capture, f"{capture} {kinds[capture]}, frame_id {kinds['frame_id']}, {TRACK_FIELDS}")
+    ordered = rows.repartition(capture).sortWithinPartitions(capture, "frame_id", order)
+    return ordered.mapInPandas(steps, f"{capture} {kinds[capture]}, frame_id {kinds['frame_id']}, {TRACK_FIELDS}")
 
 
 def track_clusters(clusters: DataFrame, spec: TrackerSpec, capture: str = "capture_id") -> DataFrame:
     """Tracks after every frame; a capture is one sequence, captures are independent."""
-    return _tracked(clusters, lambda pdf: run_clusters(TrackSet(spec), pdf), capture)
+    return _tracked(clusters, spec, run_clusters, capture, "cluster_id")
 
 
 def track_points(points: DataFrame, spec: TrackerSpec, clustering: Dbscan, capture: str = "capture_id") -> DataFrame:
-    return _tracked(points, lambda pdf: run_points(TrackSet(spec), clustering, pdf), capture)
+    return _tracked(points, spec, lambda tracks, pdf: run_points(tracks, clustering, pdf), capture, "point_idx")

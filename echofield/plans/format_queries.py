@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import struct
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -13,12 +11,13 @@ from ..operators import intervals as I, packets as P, tracking as T
 from ..operators.adc import frames_from_words, words_from_bytes
 from ..operators.dense import dense_range_doppler
 from ..sources import codecs, radar_cfg, track_files
+from ..sources.files import shared_dir
 from ..streaming import records as R, trackers as ST
 from . import runners
 from .contracts import AdcFrame, AntennaGeometry, Fft, RangeDopplerRecipe, VirtualArray
 from .cube_queries import CHAIN, COMP, KEYS, _select
 from .signals import WORDS, dft_sql, r4, raw_frames, read, rounded
-from .track_queries import LAG, SCENERY, TRACKS_SQL, tracks
+from .track_queries import LAG, PAIR_SPEC, PAIR_SQL, paired_clusters, shown, SCENERY, TRACKS_SQL, tracks
 
 QUERIES, SQL = {}, {}
 
@@ -275,8 +274,18 @@ def _(spark, sf_dir):
         start = F.unix_micros(ts) * 1000
         return ev.select(F.col("event_id").alias("id"), ts.alias("ts"), start.alias("start_ns"), (start + F.round(F.col("value") * 1000).cast("bigint") * 1000).alias("end_ns"))
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    out = f"{base.rstrip('/')}/causal-{uuid.uuid4().hex}"
+    out = shared_dir(spark, "causal")
     joined = ST.causal_pairs_stream(side("click"), side("purchase"), 0, LAG * 1000, LAG * 1000, "1 hour")
     joined.writeStream.trigger(availableNow=True).option("checkpointLocation", out + "/ck").format("parquet").option("path", out + "/rows").start().awaitTermination()
     return spark.read.schema("earlier_id bigint, later_id bigint").parquet(out + "/rows")
+
+
+@query("kalman_lifecycle_stream", PAIR_SQL)
+def _(spark, sf_dir):
+    """The stateful cluster tracker over a finite stream of the same frames."""
+    out = shared_dir(spark, "tracks")
+    rows = paired_clusters(spark, sf_dir)
+    rows.write.parquet(out + "/frames")
+    tracked = ST.track_clusters_stream(spark.readStream.schema(rows.schema).parquet(out + "/frames"), PAIR_SPEC)
+    tracked.writeStream.trigger(availableNow=True).option("checkpointLocation", out + "/ck").format("parquet").option("path", out + "/rows").start().awaitTermination()
+    return shown(spark.read.schema(tracked.schema).parquet(out + "/rows"))

@@ -197,6 +197,59 @@ def _(spark, sf_dir):
     return rounded(T.track_points(pts, TRACKER, SPEC).drop("pos_cov", "ext_cov"), "px", "py", "pz", "vx", "vy", "vz")
 
 
+# --- one Kalman cycle in closed form: two embeddings are a capture of two observations, a third frame is empty
+
+PAIR_SPEC = T.TrackerSpec(T.Dynamics(0.5, (2.0, 2.0), 0.2, 2.0), Gating(0.18013), lifecycle=Lifecycle(2, 4, 11))
+_R2, _S2, _DT, _A2 = 0.2**2, 2.0**2, 0.5, 2.0**2
+_PP = _R2 + _DT**2 * _S2 + _A2 * _DT**4 / 4
+_GAIN, _GAIN_V = _PP / (_PP + _R2), (_DT * _S2 + _A2 * _DT**3 / 2) / (_PP + _R2)
+#: A track is allocated at the first observation; the second one updates it or, beyond the gate, makes another one.
+PAIR_SQL = f"""WITH e AS (SELECT vec_id // 2 AS capture_id, vec_id % 2 AS k, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+p AS (SELECT a.capture_id, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) <= 0.18013 AS near
+  FROM e a JOIN e b ON a.capture_id = b.capture_id AND a.k = 0 AND b.k = 1),
+u AS (SELECT *, x0 + {_GAIN!r} * (x1 - x0) AS ux, y0 + {_GAIN!r} * (y1 - y0) AS uy, {_GAIN_V!r} * (x1 - x0) AS wx, {_GAIN_V!r} * (y1 - y0) AS wy FROM p),
+t AS (
+  SELECT capture_id, 0 AS frame_id, 0 AS track_id, x0 AS px, y0 AS py, z0 AS pz, 0.0 AS vx, 0.0 AS vy, 'tentative' AS status, 1 AS age, 0 AS missed FROM u
+  UNION ALL SELECT capture_id, 1, 0, ux, uy, z1, wx, wy, 'confirmed', 2, 0 FROM u WHERE near
+  UNION ALL SELECT capture_id, 2, 0, ux + 0.5 * wx, uy + 0.5 * wy, z1, wx, wy, 'coasting', 3, 1 FROM u WHERE near
+  UNION ALL SELECT capture_id, 1, 0, x0, y0, z0, 0.0, 0.0, 'tentative', 2, 1 FROM u WHERE NOT near
+  UNION ALL SELECT capture_id, 1, 1, x1, y1, z1, 0.0, 0.0, 'tentative', 1, 0 FROM u WHERE NOT near
+  UNION ALL SELECT capture_id, 2, 0, x0, y0, z0, 0.0, 0.0, 'tentative', 3, 2 FROM u WHERE NOT near
+  UNION ALL SELECT capture_id, 2, 1, x1, y1, z1, 0.0, 0.0, 'tentative', 2, 1 FROM u WHERE NOT near)
+SELECT capture_id, frame_id::BIGINT AS frame_id, track_id::BIGINT AS track_id, {", ".join(f"round({c}::DOUBLE, 6) + 0.0 AS {c}" for c in ("px", "py", "pz", "vx", "vy"))}, status, age::INT AS age, missed::INT AS missed FROM t"""
+
+
+def _pairs(spark, sf_dir, name: str):
+    """(capture_id, frame_id, name, x, y, z): an observation in frames 0 and 1, none in frame 2."""
+    v = lambda i: F.col("embedding")[i].cast("double")
+    e = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("capture_id"), (F.col("vec_id") % 2).alias("frame_id"), v(0).alias("x"), v(1).alias("y"), v(2).alias("z"))
+    both = e.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("capture_id")
+    seen = e.join(both, "capture_id").withColumn(name, F.lit(0).cast("bigint"))
+    none = both.select("capture_id", F.lit(2).cast("bigint").alias("frame_id"), *[F.lit(None).cast("double").alias(c) for c in "xyz"], F.lit(None).cast("bigint").alias(name))
+    return seen.unionByName(none)
+
+
+def paired_clusters(spark, sf_dir):
+    rows = _pairs(spark, sf_dir, "cluster_id")
+    flat = [F.lit(0.0).alias(c) for c in ("ex", "ey", "ez", "mean_velocity")]
+    return rows.select("capture_id", "frame_id", "cluster_id", *[F.col(c).alias(f"c{c}") for c in "xyz"], *flat, F.lit(1).cast("bigint").alias("point_count"))
+
+
+def shown(tracked):
+    return rounded(tracked.select("capture_id", "frame_id", "track_id", "px", "py", "pz", "vx", "vy", "status", "age", "missed"), "px", "py", "pz", "vx", "vy", digits=6)
+
+
+@query("kalman_lifecycle_clusters", PAIR_SQL)
+def _(spark, sf_dir):
+    return shown(T.track_clusters(paired_clusters(spark, sf_dir), PAIR_SPEC))
+
+
+@query("kalman_lifecycle_points", PAIR_SQL)
+def _(spark, sf_dir):
+    rows = _pairs(spark, sf_dir, "point_idx").withColumns({"velocity": F.lit(0.0), "snr": F.lit(1.0)})
+    return shown(T.track_points(rows, PAIR_SPEC, Dbscan(0.1, 1)))
+
+
 # --- packets: an order line is a datagram, a supplier's lines are a capture
 
 N_PACKETS, START = 64, 4294967290

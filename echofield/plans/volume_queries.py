@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.cartesian import PlanarProjector, sparsify_volume
-from .contracts import PlanarAperture, Sparsification
+from ..operators.cartesian import PlanarProjector, project_dense, sparsify_volume
+from ..operators.dense import DenseCube
+from .contracts import Fft, PlanarAperture, Sparsification
 from .cube_queries import CHAIN, KEYS, _PLANAR, rd_cube
-from .signals import dft_sql, r4, read, rounded
+from .signals import FRAME, dft_sql, r4, raw_frames, read, rounded
 
 QUERIES, SQL = {}, {}
 
@@ -47,6 +48,12 @@ def _(spark, sf_dir):
     return rounded(PROJECTOR.project(rd_cube(spark, sf_dir)), "magnitude")
 
 
+@query("planar_cartesian_projection_dense", SQL["planar_cartesian_projection"])
+def _(spark, sf_dir):
+    cube = DenseCube(raw_frames(spark, sf_dir), FRAME).range_fft(Fft()).then("tdm", 2).doppler_fft()
+    return rounded(project_dense(cube, PROJECTOR), "magnitude")
+
+
 SHAPE = (4, 2, 4, 2)
 
 _VOL = """vol AS (SELECT vec_id AS capture_id, 0 AS frame, (i // 16)::INT AS d, ((i // 8) % 2)::INT AS z, ((i // 2) % 4)::INT AS y, (i % 2)::INT AS x, i % 16 AS flat, i,

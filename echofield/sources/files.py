@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
 
 
 def locate(path: str) -> tuple[fs.FileSystem, str]:
@@ -14,6 +17,16 @@ def locate(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share; a local one only on one machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="echofield-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def regular_size(path: str) -> int:
     """Size of a regular file; anything else is an error."""
     system, name = locate(path)

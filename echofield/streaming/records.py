@@ -354,15 +354,41 @@ def batch_range_doppler(records: DataFrame, recipe: RangeDopplerRecipe):
     return adc_to_range_doppler(frames, recipe)
 
 
+def _forget_streams(spark, records_at: str, ended_at: str, epoch: int) -> None:
+    """Delete the staged records of streams that ended before this epoch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    system = path(ended_at).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path(ended_at)):
+        return
+    for status in system.listStatus(path(ended_at)):
+        if int(status.getPath().getName().removeprefix("epoch=")) < epoch:
+            for r in spark.read.schema("stream_id string").parquet(status.getPath().toString()).collect():
+                system.delete(path(f"{records_at}/stream_id={escape(r.stream_id)}"), True)
+            system.delete(status.getPath(), True)
+
+
 def publish_commits(records: DataFrame, staging: str, published: str, checkpoint: str):
-    """A streaming query that stages records and publishes a stream's frames once, when its COMMIT has come."""
+    """A streaming query that stages records by stream and publishes a stream's frames once, when its COMMIT has come.
+
+    An epoch reads only the streams that it ends. Their records are deleted by the next epoch, which starts when
+    this one is committed; until then a repeated epoch finds them again.
+    """
+    records_at, ended_at = f"{staging}/records", f"{staging}/ended"
 
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
-        df.write.mode("overwrite").parquet(f"{staging}/epoch={epoch}")  # a repeated epoch replaces itself
-        ended = df.filter(F.col("kind") == "COMMIT").select("stream_id").distinct()
-        if ended.limit(1).count():
-            whole = spark.read.parquet(staging).drop("epoch").join(ended, "stream_id", "left_semi")
+        _forget_streams(spark, records_at, ended_at, epoch)
+        # a repeated epoch replaces its own folders
+        staged = df.withColumn("epoch", F.lit(epoch))
+        staged.write.partitionBy("stream_id", "epoch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(records_at)
+        ended = df.filter(F.col("kind").isin("COMMIT", "ABORT")).groupBy("stream_id").agg(F.max(F.col("kind") == "COMMIT").alias("commit"))
+        ended = {r.stream_id: r.commit for r in ended.collect()}  # the streams that end in this epoch
+        if not ended:
+            return
+        spark.createDataFrame([(s,) for s in sorted(ended)], "stream_id string").coalesce(1).write.mode("overwrite").parquet(f"{ended_at}/epoch={epoch}")
+        if done := [s for s, commit in ended.items() if commit]:
+            whole = spark.read.schema(staged.schema).parquet(records_at).filter(F.col("stream_id").isin(done)).select(df.columns)
             committed_frames(whole).write.mode("overwrite").parquet(f"{published}/epoch={epoch}")
 
     return records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)

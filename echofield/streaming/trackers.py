@@ -18,19 +18,25 @@ COLUMNS = ["frame_id", *[f.split()[0] for f in TRACK_FIELDS.split(", ")]]
 def _stateful(rows: DataFrame, spec: TrackerSpec, run, capture: str) -> DataFrame:
     """The same step as in batch; a capture's tracks are kept between micro-batches.
 
-    Frames of a capture must arrive in order; the frames of one micro-batch are sorted.
+    Frames of a capture must arrive in order; the frames of one micro-batch are sorted, and one that is not after
+    the last frame of the state is an error.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        tracks = TrackSet.load(spec, state.get[0]) if state.exists else TrackSet(spec)
-        out = pd.DataFrame(run(tracks, pd.concat(batches)), columns=COLUMNS)
+        text, last = state.get if state.exists else (None, None)
+        tracks = TrackSet(spec) if text is None else TrackSet.load(spec, text)
+        rows = pd.concat(batches)
+        first = int(rows["frame_id"].min())
+        if last is not None and first <= last:
+            raise ValueError(f"frame {first} of {key[0]} came after frame {last}")
+        out = pd.DataFrame(run(tracks, rows), columns=COLUMNS)
         out.insert(0, capture, key[0])
-        state.update((tracks.dump(),))
+        state.update((tracks.dump(), int(rows["frame_id"].max())))
         yield out
 
     return rows.groupBy(capture).applyInPandasWithState(
-        step, f"{capture} {kinds[capture]}, frame_id {kinds['frame_id']}, {TRACK_FIELDS}", "tracks string", "append", GroupStateTimeout.NoTimeout
+        step, f"{capture} {kinds[capture]}, frame_id {kinds['frame_id']}, {TRACK_FIELDS}", "tracks string, last_frame bigint", "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -207,6 +207,42 @@ def test_dbscan(spark):
     assert (round(b.cz, 3), round(b.ex, 3), round(b.mean_velocity, 3)) == (0.5, 0.1, -1.1)
 
 
+@pytest.mark.parametrize("seed,use_z,scale", [(0, True, 0.0), (1, False, 0.0), (2, True, 0.5)])
+def test_dbscan_grid_equals_point_by_point(monkeypatch, seed, use_z, scale):
+    rng = np.random.default_rng(seed)
+    points = np.concatenate([rng.normal(c, 0.3, (150, 3)) for c in ((0, 0, 0), (1.2, 0, 0), (5, 5, 1))] + [rng.uniform(-4, 8, (200, 3)), np.zeros((20, 3))])
+    points = np.round(rng.permutation(points), 1)  # many distances equal eps
+    velocity, spec = rng.normal(0, 1, len(points)), Dbscan(0.5, 5, scale, use_z)
+    plain = K.dbscan_labels(points, velocity, spec)
+    monkeypatch.setattr(K, "ROWS", 0)
+    for pairs in (1 << 20, 64):
+        monkeypatch.setattr(K, "PAIRS", pairs)
+        assert (K.dbscan_labels(points, velocity, spec) == plain).all() and plain.max() >= 1
+
+
+def test_dbscan_of_many_points():
+    """50,000 points: memory and work grow with the neighbours, not with all pairs."""
+    rng = np.random.default_rng(3)
+    points = rng.uniform(0, 100, (50_000, 3)) * (1, 1, 0.02)
+    labels = K.dbscan_labels(points, None, Dbscan(0.5, 4))
+    assert len(labels) == 50_000 and labels.max() > 100 and (labels == -1).any()
+
+
+def test_dense_projection_equals_long(spark):
+    from echofield.operators.cartesian import PlanarProjector, project_dense
+
+    rng = np.random.default_rng(5)
+    raw = frames(spark, *rng.integers(-99, 99, (2, 2 * 8 * 2 * 6)).tolist())
+    adc = AdcFrame(8, 2, 6)
+    long = C.doppler_fft(C.map_tdm_virtual_array(C.range_fft(organize_adc_samples(raw, adc), Fft()), 2))
+    dense = DN.DenseCube(raw, adc).range_fft().then("tdm", 2).doppler_fft()
+    for na, ne in ((8, 4), (5, 3), (2, 2)):
+        p = PlanarProjector(PlanarAperture(((0, 0), (0, 1), (1, 2), (0, 1))), 0.4, 6, 4, -1.0, 0.5, 5, -1.3, 0.3, (3, 4, 5), (-0.2, -0.9, -0.5), (0.4, 0.5, 0.5), na, ne)
+        at = lambda df: {tuple(r[c] for c in ("capture_id", "frame", "d", "z", "y", "x")): r.magnitude for r in df.collect()}
+        a, b = at(p.project(long)), at(project_dense(dense, p))
+        assert a.keys() == b.keys() and len(a) == 2 * 5 * 60 and all(abs(a[k] - b[k]) < 1e-6 for k in a) and any(a.values())
+
+
 def test_dbscan_border_goes_to_the_lowest_cluster():
     # the point in the middle is in reach of a core point of either cluster, but no core point itself
     x = np.array([[0, 0, 0], [0.05, 0, 0], [0.1, 0, 0], [0.55, 0, 0], [1.0, 0, 0], [1.05, 0, 0], [1.1, 0, 0]], float)
@@ -298,6 +334,31 @@ def test_track_summary(spark):
         M.summarize_tracks(df.unionByName(df)).collect()
 
 
+def test_tracker_streams_through_batches(spark):
+    """A capture longer than an Arrow batch gives the same tracks as all its frames in one step."""
+    rng = np.random.default_rng(7)
+    rows = [(c, f, k, 0.1 * f + 3 * k + rng.normal(0, 0.02), float(c), 0.0, 0.0, 0.0, 0.0, 0.0, 5) for c in range(3) for f in range(40) for k in range(4)]
+    names = ["capture_id", "frame_id", "cluster_id", "cx", "cy", "cz", "ex", "ey", "ez", "mean_velocity", "point_count"]
+    spec = T.TrackerSpec(T.Dynamics(0.1), Gating(0.6), lifecycle=Lifecycle(2, 2, 3))
+    import pandas as pd
+
+    whole = pd.DataFrame(rows, columns=names)
+    want = {(c, r["frame_id"], r["track_id"]): (r["px"], r["vx"], r["status"]) for c, part in whole.groupby("capture_id") for r in T.run_clusters(T.TrackSet(spec), part)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = T.track_clusters(spark.createDataFrame(whole), spec).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.capture_id, r.frame_id, r.track_id): (r.px, r.vx, r.status) for r in got} == want
+
+
+def test_evaluation_keeps_captures_apart(spark):
+    truth = spark.createDataFrame([(c, f, 0, 0.0, 0.0, 0.0) for c in "ab" for f in range(3)], "capture_id string, frame_id bigint, truth_id bigint, x double, y double, z double")
+    tracks = truth.select("capture_id", "frame_id", F.when(F.col("capture_id") == "a", 5).otherwise(6).cast("bigint").alias("track_id"), F.lit(0.1).alias("px"), F.lit(0.0).alias("py"), F.lit(0.0).alias("pz"), F.lit("confirmed").alias("status"))
+    row = M.evaluate_tracks(tracks, truth, 0.5, by=("capture_id",)).first()
+    assert (row.id_switches, row.matched_observations, row.recall) == (0, 6, 1.0)
+
+
 def test_identity_switches(spark):
     truth = [(f, t, float(t), 0.0, 0.0) for f in range(2) for t in range(2)]
     pred = [(f, (t + f) % 2, float(t), 0.0, 0.0, "confirmed") for f in range(2) for t in range(2)]

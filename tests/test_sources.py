@@ -234,6 +234,29 @@ def test_growing_stream_is_published_once(spark, tmp_path):
     assert [(r.frame_id, r.provisional) for r in rows] == [(0, False), (1, False), (2, False)]
 
 
+def test_ended_streams_leave_the_staging(spark, tmp_path):
+    """A published stream's records go with the next epoch; another stream's stay, and an aborted one's are not published."""
+    source = tmp_path / "in"
+    os.mkdir(source)
+    schema = "stream_id string, sequence bigint, kind string, item_index bigint, payload binary"
+    one = [(name, r.sequence, R.NAMES[r.kind], r.item, bytes(r.payload)) for name in ("a=1/x", "b") for r in stream()]
+    parts = [one[: len(one) // 2 + 2], one[len(one) // 2 + 2 :], [("c", 0, "FRAME", 0, b"")]]
+    q = R.publish_commits(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source)), f"{tmp_path}/stage", f"{tmp_path}/out", f"{tmp_path}/ck").start()
+    names = lambda: sorted(x for x in os.listdir(tmp_path / "stage" / "records") if x.startswith("stream_id="))
+    seen = []
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/made{i}")
+        file = next(x for x in os.listdir(tmp_path / f"made{i}") if x.startswith("part-"))
+        os.replace(tmp_path / f"made{i}" / file, source / f"{i}.parquet")
+        q.processAllAvailable()
+        seen.append(names())
+    q.stop()
+    # the first epoch ends the first stream, the second one the other
+    assert len(seen[0]) == 2 and seen[1:] == [["stream_id=b"], ["stream_id=c"]]
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.stream_id, r.frame_id) for r in got.collect()) == [(name, i) for name in ("a=1/x", "b") for i in range(3)]
+
+
 LIMITS = {"max_items": 10, "max_item_bytes": 100, "max_payload_bytes": 1000}
 SOURCES = [
     {"source_id": "radar-0", "kind": "radar", "required": True, "limits": LIMITS, "clock": {"timestamp_semantics": "frame_start", "tick_hz": 1000, "wrap_ticks": 100}},
@@ -423,3 +446,23 @@ def test_chunks(spark, tmp_path, codec):
     assert starts == codecs.window_starts(1, 50, 10, 4) and 0 <= min(starts) and max(starts) <= 6
     times = spark.createDataFrame([("a", float(i)) for i in range(1, 102)], "codec string, seconds double")
     assert tuple(codecs.latency_report(times).first())[1:] == (51.0, 96.0, 101)
+
+
+def test_stream_tracker_refuses_late_frames(spark, tmp_path):
+    from echofield.operators import tracking as T
+    from echofield.plans.contracts import Gating
+    from echofield.streaming import trackers as ST
+
+    names = "capture_id bigint, frame_id bigint, cluster_id bigint, cx double, cy double, cz double, ex double, ey double, ez double, mean_velocity double, point_count bigint"
+    row = lambda f: (1, f, 0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 3)
+    source = f"{tmp_path}/in"
+    spark.createDataFrame([row(0), row(2)], names).coalesce(1).write.parquet(source)
+    rows = spark.readStream.schema(names).parquet(source)
+    out = ST.track_clusters_stream(rows, T.TrackerSpec(T.Dynamics(0.1), Gating(0.6)))
+    q = out.writeStream.option("checkpointLocation", f"{tmp_path}/ck").format("parquet").option("path", f"{tmp_path}/out").start()
+    q.processAllAvailable()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+    spark.createDataFrame([row(1)], names).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="came after"):
+        q.processAllAvailable()
+    q.stop()
