@@ -82,13 +82,14 @@ def fingerprints(rows: DataFrame, keep: list[str]) -> DataFrame:
     counted = shingles.groupBy(*keep).agg(F.count(F.lit(1)).alias("votes"), *votes)
 
     def word(w: int) -> Column:
-        out = F.lit(0).cast("long")
-        for i in range(32):
-            v = F.col(f"v{w}_{i}")
-            for bit, n in ((i, v.bitwiseAND(F.lit((1 << 32) - 1))), (i + 32, F.shiftrightunsigned(v, 32))):
-                value = (1 << bit) - (1 << 64 if bit == 63 else 0)
-                out = out.bitwiseOR(F.when(n * 2 > F.col("votes"), F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
-        return out
+        # a bit is set where it has more than half of the votes, so where votes - 2 * count is negative
+        def bits(v: Column, i: Column) -> Column:
+            low, high = v.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(v, 32)
+            sign = lambda n: F.shiftrightunsigned(F.col("votes") - n * 2, 63)
+            return F.call_function("shiftleft", sign(low), i).bitwiseOR(F.call_function("shiftleft", sign(high), i + 32))
+
+        parts = F.transform(F.array(*[f"v{w}_{i}" for i in range(32)]), bits)
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda all_bits, some: all_bits.bitwiseOR(some))
 
     return counted.select(*keep, *[word(w).alias(f"fp{w}") for w in range(BITS // 64)])
 
