@@ -4,12 +4,12 @@
    so exact copies, however many, cost one row from here on.
 2. Each node's five-word shingles give a MinHash signature, divided into bands. Rows a band and bands are chosen
    so that a pair at the threshold shares a band with the target probability.
-3. Nodes are shuffled on band hashes. Bands with the same members are one bucket. Within a bucket (a big one in
-   pairs of bounded blocks) sketches, a byte for each MinHash, are compared around leaders: a member is covered by a
-   leader that nearly equals it, and every member within reach of a leader is tied to it. By the triangle inequality
-   two members at the threshold end up tied through the leader of one of them, while dissimilar members of a bucket
-   stay apart, so shared boilerplate does not chain documents together. A bucket of near copies has few leaders, so
-   it costs about its size, not its square.
+3. Nodes are shuffled on band hashes. Bands with the same members are one bucket. A bucket is divided into blocks;
+   in each, sketches, a byte for each MinHash, are compared around leaders: a member is covered by a leader that
+   nearly equals it, and every member within reach of a leader is tied to it. The leaders of a bucket of several blocks
+   are then compared in pairs of blocks. By the triangle inequality two members at the threshold end up tied through
+   the leaders that cover them, while dissimilar members of a bucket stay apart, so shared boilerplate does not chain
+   documents together. A bucket of near copies has few leaders, so it costs about its size, not its square.
 4. Tied nodes form candidate groups. A group is divided into blocks bounded in nodes and shingles; each pair of
    blocks is one unit of work that holds at most two blocks of full shingle sets, counts what each two sets share (rare
    shingles pair by pair, common ones by matrix products over slices of columns), and returns for each node its number
@@ -175,87 +175,116 @@ def signatures(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
     )
 
 
-def reach(similarity: float, hashes: int) -> tuple[float, float]:
-    """(cover, tie): shares of equal sketch bytes from which a leader covers a member, and from which one is tied.
+#: Share of the allowed distance within which a leader covers a member.
+COVER = 0.4
 
-    With distances 1 - J: a member within 0.4 (1 - s) of its leader and another within 1 - s of the member are within
-    1.4 (1 - s) of each other at most; five standard deviations of the estimate are allowed on top.
+
+def reach(similarity: float, hashes: int, leaders: int) -> float:
+    """Share of equal sketch bytes from which two rows are tied, with ``leaders`` leaders on the way between two members.
+
+    With distances 1 - J: a leader is within 0.4 (1 - s) of a member that it covers, and two members within 1 - s of
+    each other; five standard deviations of the estimate are allowed on top.
     """
-    cover = 1 - 0.4 * (1 - similarity)
-    return cover, max(0.0, 1 - 1.4 * (1 - similarity) - 2.5 / math.sqrt(hashes))
+    return max(0.0, 1 - (1 + COVER * leaders) * (1 - similarity) - 2.5 / math.sqrt(hashes))
 
 
-def _ties(sketches: np.ndarray, left: np.ndarray, cover: float, tie: float) -> np.ndarray:
-    """Root of each row: rows are tied to leaders among ``left``, which cover all of ``left``."""
-    n = len(sketches)
-    label = np.arange(n)
-    covered = np.ones(n, bool)
-    covered[left] = False
+def _ties(sketches: np.ndarray, left: np.ndarray, cover: float, tie: float) -> tuple[np.ndarray, list[int]]:
+    """Root of each row, and the leaders: rows are tied to leaders among ``left``, which cover all of ``left``."""
+    label = np.arange(len(sketches))
+    open_rows = np.zeros(len(sketches), bool)
+    open_rows[left] = True
+    leaders = []
     for leader in left:
-        if covered[leader]:
+        if not open_rows[leader]:
             continue
+        leaders.append(int(leader))
         same = (sketches == sketches[leader]).mean(axis=1)
-        covered |= same >= cover
+        open_rows &= same < cover
+        open_rows[leader] = False
         near = np.flatnonzero(same >= tie)
         label[np.isin(label, label[near])] = label[near].min()
-    return label
+    return label, leaders
 
 
-def similar_ties(nodes: DataFrame, similarity: float, block: int = SKETCH_BLOCK) -> DataFrame:
-    """(node, other) ties of nodes that share a band and have similar sketches, from rows (node, bands, sketch).
+UNIT = ["band", "lo", "hi"]
+TIES = "node binary, other binary, band bigint, sketch binary"
 
-    Ties connect any two nodes of one bucket whose similarity reaches the threshold; no more rows than members.
+
+def _tied(units: DataFrame, similarity: float, leaders: int) -> DataFrame:
+    """TIES of rows (band, lo, hi, part, divided, node, sketch): ties, and leaders (other null) of divided buckets.
+
+    ``leaders`` is 1 among members, 2 among leaders, each of which then stands for itself alone.
     """
-    band_rows = nodes.filter(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band"))
-    members = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"m{i}") for i in (1, 2)]
-    buckets = band_rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *members).filter(F.col("n") > 1)
-    buckets = buckets.groupBy("n", "m1", "m2").agg(F.min("band").alias("band"))
-    shared = band_rows.join(buckets.select("band", "n"), "band")
-    own = shared.groupBy("node").agg(F.collect_list(F.struct("band", "n")).alias("buckets"))
-    n_blocks = F.ceil(F.col("b.n") / block).cast("int")
-    placed = (
-        nodes.select("node", "sketch")
-        .join(own, "node")
-        .select("node", "sketch", F.explode("buckets").alias("b"))
-        .select("node", "sketch", F.col("b.band").alias("band"), n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("node"), n_blocks.cast("long")).cast("int").alias("block"))
-        .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    )
-    i, j = F.col("block"), F.col("to")
-    units = placed.select(
-        "band", F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi"), F.when(i == j, 0).when(i < j, 1).otherwise(2).alias("part"), "node", "sketch"
-    )
-    units = units.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node")
+    ordered = units.select(*UNIT, "part", "divided", "node", "sketch").repartition(*UNIT).sortWithinPartitions(*UNIT, "node")
+    schema = pa.schema([("node", pa.binary()), ("other", pa.binary()), ("band", pa.int64()), ("sketch", pa.binary())])
 
     def compare(batches):
         unit, rows = None, []
-        out: list[tuple[bytes, bytes]] = []
+        out: list[tuple] = []
 
         def done():
-            if len(rows) < 2:
+            divided = bool(rows) and rows[0][1]
+            if len(rows) < 2 and not divided:
                 return
-            sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+            sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
             left = np.flatnonzero(np.array([r[0] for r in rows]) < 2)
-            label = _ties(sketches, left, *reach(similarity, sketches.shape[1]))
-            out.extend((rows[k][1], rows[label[k]][1]) for k in range(len(rows)) if label[k] != k)
+            cover = 1 - COVER * (1 - similarity) if leaders == 1 else 2.0
+            label, chosen = _ties(sketches, left, cover, reach(similarity, sketches.shape[1], leaders))
+            out.extend((rows[k][2], rows[label[k]][2], None, None) for k in range(len(rows)) if label[k] != k)
+            if divided:
+                out.extend((rows[k][2], None, unit[0], rows[k][3]) for k in chosen)
 
         def flush():
-            made = pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["node", "other"])
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
             out.clear()
             return made
 
         for batch in batches:
-            for *key, part, node, sketch in zip(*[c.to_pylist() for c in batch.columns]):
+            for *key, part, divided, node, sketch in zip(*[c.to_pylist() for c in batch.columns]):
                 if key != unit:
                     done()
                     unit, rows = key, []
-                rows.append((part, node, sketch))
+                rows.append((part, divided, node, sketch))
             if out:
                 yield flush()
         done()
         if out:
             yield flush()
 
-    return units.mapInArrow(compare, "node binary, other binary")
+    return ordered.mapInArrow(compare, TIES)
+
+
+def _block_of(n_blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), n_blocks.cast("long")).cast("int")
+
+
+def similar_ties(nodes: DataFrame, similarity: float, block: int = SKETCH_BLOCK) -> DataFrame:
+    """(node, other) ties of nodes that share a band and have similar sketches, from rows (node, bands, sketch).
+
+    Ties connect any two nodes of one bucket whose similarity reaches the threshold; no more rows than members.
+    """
+    band_rows = nodes.filter(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band"))
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"m{i}") for i in (1, 2)]
+    buckets = band_rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *members).filter(F.col("n") > 1)
+    buckets = buckets.groupBy("n", "m1", "m2").agg(F.min("band").alias("band"))
+    shared = band_rows.join(buckets.select("band", "n"), "band")
+    own = shared.groupBy("node").agg(F.collect_list(F.struct("band", "n")).alias("buckets"))
+    n_blocks = F.ceil(F.col("b.n") / block).cast("int")
+    placed = nodes.select("node", "sketch").join(own, "node").select("node", "sketch", F.explode("buckets").alias("b")).select(
+        "node", "sketch", F.col("b.band").alias("band"), (n_blocks > 1).alias("divided"), _block_of(n_blocks).alias("lo")
+    )
+    found = workspace.written(_tied(placed.select("*", F.col("lo").alias("hi"), F.lit(0).alias("part")), similarity, 1), "ties")
+    ties = found.filter(F.col("other").isNotNull()).select("node", "other")
+    leaders = found.filter(F.col("other").isNull()).select("band", "node", "sketch")
+    if not leaders.limit(1).count():
+        return ties
+    sizes = leaders.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"))
+    apart = leaders.join(sizes, "band").withColumn("block", _block_of(F.col("n_blocks"))).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    i, j = F.col("block"), F.col("to")
+    pairs = apart.select(
+        "band", F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi"), F.when(i == j, 0).when(i < j, 1).otherwise(2).alias("part"), F.lit(False).alias("divided"), "node", "sketch"
+    )
+    return ties.unionByName(_tied(pairs, similarity, 2).select("node", "other"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -464,7 +493,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     The one of smallest doc_id stays, null doc_ids come last, ties of doc_ids go by digest; of rows that
     repeat both doc_id and text one stays. Only the (small) identities of what goes are joined with the documents.
     """
-    found = classify(docs.select("doc_id", "text"))
+    found = workspace.written(classify(docs.select("doc_id", "text")), "classified")
     key = ["doc_id", "t1", "t2"]
     units = found.groupBy("class_node", "node", *key).agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "t1", "t2")
