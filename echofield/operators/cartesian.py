@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.complexes import cabs, pair
 from ..plans.contracts import PlanarAperture, Sparsification, require
@@ -326,3 +329,112 @@ def sparsify_volume(
     zero = ["limited_peak_voxels", "static_output_points", "point_count", "noise_floor_min", "noise_floor_median", "noise_floor_max"]
     stats = counters.join(made, k, "left")
     return points, stats.withColumns({**{c: F.coalesce(F.col(c), F.lit(0)) for c in zero}, "fallback_used": F.coalesce("fallback_used", F.lit(False))})
+
+
+# --- the same from frames as arrays
+
+
+def _box_peaks(m: np.ndarray, radius: int) -> np.ndarray:
+    """Cells of (d, z, y, x) that no cell of their box exceeds, nor equals from an earlier place."""
+    top = np.ones(m.shape, bool)
+    for step in itertools.product(range(-radius, radius + 1), repeat=3):
+        if step == (0, 0, 0):
+            continue
+        here = (slice(None), *[slice(max(0, -s), n - max(0, s)) for s, n in zip(step, m.shape[1:])])
+        there = (slice(None), *[slice(max(0, s), n - max(0, -s)) for s, n in zip(step, m.shape[1:])])
+        top[here] &= (m[here] > m[there]) | ((m[here] == m[there]) & (step > (0, 0, 0)))
+    return top
+
+
+def _line_peaks(seen: np.ndarray, radius: int) -> np.ndarray:
+    """Cells above the ones before them along Doppler and not below the ones after."""
+    top = np.ones(seen.shape, bool)
+    for s in range(1, min(radius, len(seen) - 1) + 1):
+        top[s:] &= seen[s:] > seen[:-s]
+        top[:-s] &= seen[:-s] >= seen[s:]
+    return top
+
+
+def sparsify_frame(m: np.ndarray, velocity: np.ndarray, spec: Sparsification, suppressed: int | None = None) -> tuple[list[tuple], tuple]:
+    """Points (d, z, y, x, velocity, snr_db, rank, fallback) and counters of one volume (d, z, y, x)."""
+    margin = spec.boundary_margin_voxels
+    require(all(2 * margin < n for n in m.shape[1:]), "the margin leaves no voxel")
+    valid = np.zeros(m.shape, bool)
+    valid[(slice(None), *[slice(margin, n - margin) for n in m.shape[1:]])] = True
+    seen = m.copy()
+    if suppressed is not None:
+        seen[suppressed] = 0.0
+    positive = seen > 0
+    noise = np.array([np.exp(np.log(s[v & p]).mean()) * spec.noise_floor_scale if (v & p).any() else 0.0 for s, v, p in zip(seen, valid, positive)])
+    snr = np.full(m.shape, -np.inf)
+    known = positive & (noise > 0)[:, None, None, None]
+    snr[known] = 20 * np.log10(seen[known] / np.broadcast_to(noise[:, None, None, None], m.shape)[known])
+    doppler = positive & _line_peaks(seen, spec.doppler_peak_radius)
+    peak = doppler & valid & _box_peaks(m, spec.spatial_peak_radius)
+    candidate = peak & (snr >= spec.min_snr_db)
+
+    flat_snr, fast = snr.reshape(-1), np.abs(velocity)
+    voxels = m[0].size
+    at = np.flatnonzero(candidate)
+    at = at[np.lexsort((at, -flat_snr[at]))]  # the strongest first, of equal ones the first
+    if spec.max_doppler_peaks_per_spatial is not None:
+        place = at % voxels
+        order = np.argsort(place, kind="stable")
+        run = np.arange(len(at)) - np.searchsorted(place[order], place[order])
+        keep = np.zeros(len(at), bool)
+        keep[order] = run < spec.max_doppler_peaks_per_spatial
+        at = at[keep]
+    limited = len(at)
+
+    def static(rows: np.ndarray) -> np.ndarray:
+        own = fast[rows // voxels]
+        return own <= spec.static_velocity_threshold_mps + EPS32 * max(own.max(initial=0.0), 1.0)
+
+    if spec.static_point_capacity_fraction == 1.0:
+        at = at[: spec.max_points]
+    else:
+        cap, slow = math.floor(spec.max_points * spec.static_point_capacity_fraction), static(at)
+        room = np.where(slow, cap, spec.max_points - min(int(slow.sum()), cap))
+        at = at[np.where(slow, np.cumsum(slow), np.cumsum(~slow)) <= room]
+    fallback = False
+    if not len(at) and spec.strongest_point_fallback and (positive & valid).any():
+        allowed = valid.copy()
+        if suppressed is not None:
+            allowed[suppressed] = False
+        fallback = bool(allowed.any())
+        if fallback:
+            at = np.array([np.where(allowed, m, -np.inf).argmax()])
+    points = [(*map(int, np.unravel_index(i, m.shape)), float(velocity[i // voxels]), float(flat_snr[i]), rank, fallback) for rank, i in enumerate(at.tolist(), 1)]
+    heard = noise[noise > 0]
+    low, middle, high = (float(heard.min()), float(np.median(heard)), float(heard.max())) if len(heard) else (0.0, 0.0, 0.0)
+    counts = [valid[0].sum(), positive.sum(), (positive & valid).sum(), doppler.sum(), peak.sum(), candidate.sum()]
+    return points, (*map(int, counts), low, middle, high, limited, int(static(at).sum()) if len(at) else 0, len(at), fallback)
+
+
+POINT = "d int, z int, y int, x int, velocity double, snr_db double, rank int, fallback boolean"
+COUNTERS = (
+    "valid_spatial_voxels bigint, positive_volume_voxels bigint, valid_positive_volume_voxels bigint, doppler_peak_voxels bigint, local_peak_voxels bigint, "
+    "threshold_peak_voxels bigint, noise_floor_min double, noise_floor_median double, noise_floor_max double, limited_peak_voxels bigint, "
+    "static_output_points bigint, point_count bigint, fallback_used boolean"
+)
+
+
+def sparsify_dense(
+    volumes: DataFrame, shape: tuple[int, int, int, int], velocity: list[float], spec: Sparsification = Sparsification(), suppressed: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(points, counters) as ``sparsify_volume`` gives them, from (capture_id, frame, v): a volume a row, no exchange."""
+    speeds = np.asarray(velocity, float)
+    require(len(speeds) == shape[0], "a velocity for each Doppler bin")
+    kind = volumes.schema["capture_id"].dataType.simpleString()
+    arrow = to_arrow_schema(StructType.fromDDL(f"points array<struct<{POINT}>>, stats struct<{COUNTERS}>"))
+    names, counter_names = ([f.split()[0] for f in x.split(", ")] for x in (POINT, COUNTERS))
+
+    def run(batches):
+        for batch in batches:
+            made = [sparsify_frame(np.asarray(v.values.to_numpy(zero_copy_only=False), float).reshape(shape), speeds, spec, suppressed) for v in batch.column(2)]
+            points = pa.array([[dict(zip(names, p)) for p in points] for points, _ in made], arrow.field("points").type)
+            stats = pa.array([dict(zip(counter_names, c)) for _, c in made], arrow.field("stats").type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), points, stats], names=["capture_id", "frame", "points", "stats"])
+
+    out = volumes.select("capture_id", F.col("frame").cast("int").alias("frame"), "v").mapInArrow(run, f"capture_id {kind}, frame int, points array<struct<{POINT}>>, stats struct<{COUNTERS}>")
+    return out.select("capture_id", "frame", F.inline("points")), out.select("capture_id", "frame", "stats.*")

@@ -183,8 +183,11 @@ def event_cardinality(items: DataFrame, bounds: DataFrame) -> DataFrame:
     Required sources are held against every event of the session, others against their own events.
     """
     counts = items.filter(F.col("sync_event_id").isNotNull()).groupBy("source_id", "sync_event_id").agg(F.count(F.lit(1)).alias("n"))
-    events = counts.select("sync_event_id").distinct()
-    wanted = bounds.filter("required").select("source_id").join(events).unionByName(counts.select("source_id", "sync_event_id")).distinct()
+    # a session has some ten sources; each event is held against the required ones it lacks
+    required = F.array(*[F.lit(r.source_id) for r in bounds.filter("required").select("source_id").distinct().collect()]).cast("array<string>")
+    lacking = counts.groupBy("sync_event_id").agg(F.collect_set("source_id").alias("found"))
+    lacking = lacking.select(F.explode(F.array_except(required, "found")).alias("source_id"), "sync_event_id")
+    wanted = lacking.unionByName(counts.select("source_id", "sync_event_id"))
     full = wanted.join(counts, ["source_id", "sync_event_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return full.join(bounds, "source_id").filter(~F.col("n").between(F.col("minimum"), F.col("maximum"))).select("source_id", "sync_event_id", "n")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.cartesian import PlanarProjector, project_dense, sparsify_volume
+from ..operators.cartesian import PlanarProjector, project_dense, sparsify_dense, sparsify_volume
 from ..operators.dense import DenseCube
 from .contracts import Fft, PlanarAperture, Sparsification
 from .cube_queries import CHAIN, KEYS, _PLANAR, rd_cube
@@ -101,3 +101,19 @@ SELECT c.*, (SELECT count(*) FROM cand WHERE cand.capture_id = c.capture_id) AS
   c.capture_id IN (SELECT capture_id FROM fb) AS fallback_used FROM c JOIN n USING (capture_id)""")
 def _(spark, sf_dir):
     return rounded(sparse(spark, sf_dir)[1], "noise_floor_min", "noise_floor_median", "noise_floor_max", digits=6)
+
+
+def sparse_dense(spark, sf_dir):
+    size = F.transform("embedding", lambda v: F.abs(v.cast("double")))
+    volumes = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("capture_id"), F.lit(0).alias("frame"), size.alias("v"))
+    return sparsify_dense(volumes, SHAPE, [(d - 1.5) * 0.5 for d in range(SHAPE[0])], SPARSE, suppressed=3)
+
+
+@query("sparsify_cartesian_volume_dense", SQL["sparsify_cartesian_volume"])
+def _(spark, sf_dir):
+    return rounded(sparse_dense(spark, sf_dir)[0], "velocity", "snr_db")
+
+
+@query("sparsification_counters_dense", SQL["sparsification_counters"])
+def _(spark, sf_dir):
+    return rounded(sparse_dense(spark, sf_dir)[1], "noise_floor_min", "noise_floor_median", "noise_floor_max", digits=6)

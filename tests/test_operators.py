@@ -459,6 +459,29 @@ def test_sparsify_suppression_and_fallback(spark):
     assert (s.positive_volume_voxels, s.limited_peak_voxels, s.fallback_used) == (2, 0, True)
 
 
+@pytest.mark.parametrize("spec,suppressed", [
+    (Sparsification(min_snr_db=0.5, max_points=7), None),
+    (Sparsification(1.0, 5, 2, 2, 1, 1, 1.1, 0.4, 0.3), 1),
+    (Sparsification(-100.0, 9, 0, 0, 2, 0, 1.0, 0.5, 0.6), 0),
+    (Sparsification(90.0, 3, 1, 1), 2),
+    (Sparsification(90.0, 3, 1, 1, strongest_point_fallback=False), None),
+])
+def test_dense_sparsification_equals_long(spark, spec, suppressed):
+    from echofield.operators.cartesian import sparsify_dense
+
+    shape, rng = (4, 3, 4, 5), np.random.default_rng(8)
+    volumes = [np.round(rng.random(240) * 6) * (rng.random(240) < 0.8) for _ in range(6)] + [np.zeros(240)]  # many ties and zeros
+    arrays = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(volumes)], "capture_id bigint, frame int, v array<double>")
+    i = F.col("i")
+    long = arrays.select("capture_id", "frame", F.posexplode("v").alias("i", "magnitude")).select(
+        "capture_id", "frame", F.floor(i / 60).cast("int").alias("d"), (F.floor(i / 20) % 3).cast("int").alias("z"), (F.floor(i / 5) % 4).cast("int").alias("y"), (i % 5).cast("int").alias("x"), "magnitude"
+    )
+    speeds = [(d - 1.5) * 0.5 for d in range(4)]
+    tidy = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in (r[c] for c in sorted(df.columns))) for r in df.collect())
+    for a, b in zip(sparsify_volume(long, shape, (F.col("d") - 1.5) * 0.5, spec, suppressed), sparsify_dense(arrays, shape, speeds, spec, suppressed)):
+        assert sorted(a.columns) == sorted(b.columns) and tidy(a) == tidy(b)
+
+
 # --- contracts
 
 
