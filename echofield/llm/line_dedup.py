@@ -27,6 +27,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Settled keys are broadcast up to this many rows (16 bytes each), beyond it they are merge-joined.
 BROADCAST_KEYS = 100_000
+#: Documents that lose lines (about 80 bytes each), and these lines (4 bytes each), are broadcast up to these numbers.
+BROADCAST_HITS, BROADCAST_LINES = 200_000, 2_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -186,16 +188,17 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = BATC
     lines, keys = frequent_line_keys(docs, min_docs, batches, fanout)
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    hit = (
-        lines.join(keys, ["h1", "h2"], "left_semi")
-        .groupBy("d1", "d2")
-        .agg(F.collect_set("pos").alias("gone"))
-    )
+    hit = lines.join(keys, ["h1", "h2"], "left_semi").groupBy("d1", "d2").agg(F.collect_set("pos").alias("gone"))
+    hit = workspace.written(hit, "hits")
+    n_hit, n_lines = hit.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    # texts stay where they are while the places of what goes are few, else both sides are shuffled by document
+    few = n_hit <= BROADCAST_HITS and n_lines <= BROADCAST_LINES
+    hit = F.broadcast(hit) if few else hit.hint("shuffle_hash")
     gone = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("all_lines") - 1), gone)
     return (
         identified(docs)
-        .join(hit.hint("shuffle_hash"), ["d1", "d2"], "left")
+        .join(hit, ["d1", "d2"], "left")
         .select("doc", gone.alias("gone"), lines_of(F.col("doc.text")).alias("all_lines"))
         .select(
             "doc",

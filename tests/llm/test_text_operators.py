@@ -89,6 +89,14 @@ def test_lines(spark, small, batches, fanout):
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=str) == lines_by_hand(rows, 10)
 
 
+def test_lines_by_shuffle(spark, small, monkeypatch):
+    """Beyond the sizes that are broadcast, joins by shuffle give the same."""
+    before = sorted(map(str, line_dedup.drop_frequent_lines(small, 3).collect()))
+    for name in ("BROADCAST_KEYS", "BROADCAST_HITS"):
+        monkeypatch.setattr(line_dedup, name, 0)
+    assert sorted(map(str, line_dedup.drop_frequent_lines(small, 3).collect())) == before
+
+
 def test_lines_odd(odd, empty):
     got = line_dedup.drop_frequent_lines(odd, 2)
     assert got.count() == len(ODD) and set(odd.columns) <= set(got.columns)
