@@ -151,7 +151,7 @@ class LineRuns:
             found = found.unionByName(_united(self.settled))
         if left:
             found = found.unionByName(self._summed(left).filter(F.col("docs") >= self.min_docs).select(*KEY))
-        return workspace.written(found.distinct(), "frequent-lines")
+        return workspace.written(found.distinct(), "frequent-lines", codec="none")
 
     def forget(self) -> None:
         workspace.forget(*self.settled, *[t for level in self.levels for run in level for t in run.tables()])
@@ -174,7 +174,7 @@ BATCHES, FANOUT = 6, 4
 def frequent_line_keys(docs: DataFrame, min_docs: int = 10, batches: int = BATCHES, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
     """The line table of ``docs`` and the keys in at least ``min_docs`` documents, found batch by batch."""
     lines = line_table(docs).withColumn("batch", F.pmod(F.col("d1"), F.lit(batches)).cast("int"))
-    lines = workspace.written(lines, "lines", partition_by=["batch"])
+    lines = workspace.written(lines, "lines", ["batch"], "none")
     runs = LineRuns(docs.sparkSession, min_docs, fanout)
     for batch in range(batches):
         runs.add(lines.filter(F.col("batch") == batch))
@@ -189,7 +189,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = BATC
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     hit = lines.join(keys, ["h1", "h2"], "left_semi").groupBy("d1", "d2").agg(F.collect_set("pos").alias("gone"))
-    hit = workspace.written(hit, "hits")
+    hit = workspace.written(hit, "hits", codec="none")
     n_hit, n_lines = hit.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     # texts stay where they are while the places of what goes are few, else both sides are shuffled by document
     few = n_hit <= BROADCAST_HITS and n_lines <= BROADCAST_LINES

@@ -273,7 +273,7 @@ def similar_ties(nodes: DataFrame, similarity: float, block: int = SKETCH_BLOCK)
     placed = nodes.select("node", "sketch").join(own, "node").select("node", "sketch", F.explode("buckets").alias("b")).select(
         "node", "sketch", F.col("b.band").alias("band"), (n_blocks > 1).alias("divided"), _block_of(n_blocks).alias("lo")
     )
-    found = workspace.written(_tied(placed.select("*", F.col("lo").alias("hi"), F.lit(0).alias("part")), similarity, 1), "ties")
+    found = workspace.written(_tied(placed.select("*", F.col("lo").alias("hi"), F.lit(0).alias("part")), similarity, 1), "ties", codec="none")
     ties = found.filter(F.col("other").isNotNull()).select("node", "other")
     leaders = found.filter(F.col("other").isNull()).select("band", "node", "sketch")
     if not leaders.limit(1).count():
@@ -294,9 +294,9 @@ def components(edges: DataFrame) -> DataFrame:
     distance in each round; each round is a written table.
     """
     both = edges.select("node", "other").unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
-    both = workspace.written(both.distinct(), "edges")
+    both = workspace.written(both.distinct(), "edges", codec="none")
     labels = workspace.written(
-        both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")), "labels"
+        both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")), "labels", codec="none"
     )
     while True:
         around = (
@@ -307,7 +307,7 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         step = workspace.written(
-            step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels"
+            step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels", codec="none"
         )
         moved = step.filter(F.col("old") != F.col("label")).limit(1).count()
         workspace.forget(labels)
@@ -432,9 +432,9 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     """
     bands, per_band = choose_bands(similarity, recall, max_hashes)
     read = docs.select("doc_id", *text_identity(F.col("text")), normalised(F.col("text")).alias("norm"))
-    signed = workspace.written(signatures(read, bands, per_band), "signatures")
+    signed = workspace.written(signatures(read, bands, per_band), "signatures", codec="none")
     made = [F.first(c).alias(c) for c in ("bands", "sketch", "size")]
-    nodes = workspace.written(signed.groupBy("node").agg(*made, F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")), "nodes")
+    nodes = workspace.written(signed.groupBy("node").agg(*made, F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")), "nodes", codec="none")
     groups = candidate_groups(nodes, similarity)
     spread_over = F.least(F.ceil(F.count(F.lit(1)) / spread), F.lit(SPREAD_BLOCKS))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES), spread_over, F.lit(1))
@@ -442,7 +442,7 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     sizes = grouped.groupBy("label").agg(blocks.cast("int").alias("n_blocks"))
     placed = workspace.written(
         grouped.join(sizes, "label").select("node", "label", "n_copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks").cast("long")).cast("int").alias("block")),
-        "groups",
+        "groups", codec="none"
     )
     wanted = placed.select("node")
     if placed.count() <= BROADCAST_NODES:
@@ -466,7 +466,7 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
         )
     )
     members = members.repartition("grp").sortWithinPartitions("grp", "node")
-    found = workspace.written(verified_links(members, similarity), "links")
+    found = workspace.written(verified_links(members, similarity), "links", codec="none")
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("n_texts"))
     classes = components(found.select("node", "other"))
     labelled = nodes.select("node", "first_id", "n_copies").join(classes.join(links, "node"), "node", "left")
@@ -478,7 +478,7 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
         (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
         F.coalesce("n_texts", F.lit(0)).alias("n_texts"),
     )
-    labelled = workspace.written(labelled, "classes")
+    labelled = workspace.written(labelled, "classes", codec="none")
     workspace.forget(nodes, groups, placed, found, classes)
     ids = labelled.groupBy("class_node").agg(F.min("first_id").alias("class_id"))
     per_node = labelled.join(ids, "class_node").select("node", "class_node", "class_id", "n_links", "n_texts", "n_copies")
@@ -493,14 +493,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     The one of smallest doc_id stays, null doc_ids come last, ties of doc_ids go by digest; of rows that
     repeat both doc_id and text one stays. Only the (small) identities of what goes are joined with the documents.
     """
-    found = workspace.written(classify(docs.select("doc_id", "text")), "classified")
+    found = workspace.written(classify(docs.select("doc_id", "text")), "classified", codec="none")
     key = ["doc_id", "t1", "t2"]
     units = found.groupBy("class_node", "node", *key).agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "t1", "t2")
     keep = units.groupBy("class_node").agg(F.min(order).alias("k"), F.sum("n").alias("total")).filter(F.col("total") > 1)
     stays = F.col("k.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("k.t1") == F.col("t1")) & (F.col("k.t2") == F.col("t2"))
     away = units.join(keep.select("class_node", "k"), "class_node").select(*key, stays.alias("stays"), "n").filter(~F.col("stays") | (F.col("n") > 1))
-    away = workspace.written(away, "away")
+    away = workspace.written(away, "away", codec="none")
     rows = docs.select(F.struct("*").alias("__doc"), *[c.alias(f"__{n}") for c, n in zip(text_identity(F.col("text")), key[1:])])
     here = F.col("__doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2"))
     gone, repeated = away.select(*key), away.filter("stays").select(*key)

@@ -26,15 +26,15 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, partition_by: list[str] | None = None, sort_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, partition_by: list[str] | None = None, codec: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage.
 
-    Reading the files survives the loss of any executor.
+    Reading the files survives the loss of any executor. Tables of hashes take codec "none": hashes do not compress,
+    and each open file's codec holds buffers outside the heap until the next collection.
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    out = df.sortWithinPartitions(*sort_by) if sort_by else df
-    writer = out.write
+    writer = df.write.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -47,7 +47,7 @@ def bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """``df`` written as a table bucketed and sorted by ``keys``, and read back.
 
     There are as many buckets as shuffle partitions, so a join or aggregation by the keys needs no exchange of it.
-    Hashes do not compress, and codecs hold buffers outside the heap for each of the many small files: none is used.
+    No codec is used, see ``written``.
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
