@@ -432,7 +432,8 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     """
     bands, per_band = choose_bands(similarity, recall, max_hashes)
     read = docs.select("doc_id", *text_identity(F.col("text")), normalised(F.col("text")).alias("norm"))
-    signed = workspace.written(signatures(read, bands, per_band), "signatures", codec="none")
+    with workspace.small_batches(docs.sparkSession):
+        signed = workspace.written(signatures(read, bands, per_band), "signatures", codec="none")
     made = [F.first(c).alias(c) for c in ("bands", "sketch", "size")]
     nodes = workspace.written(signed.groupBy("node").agg(*made, F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")), "nodes", codec="none")
     groups = candidate_groups(nodes, similarity)
@@ -466,7 +467,8 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
         )
     )
     members = members.repartition("grp").sortWithinPartitions("grp", "node")
-    found = workspace.written(verified_links(members, similarity), "links", codec="none")
+    with workspace.small_batches(docs.sparkSession):
+        found = workspace.written(verified_links(members, similarity), "links", codec="none")
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("n_texts"))
     classes = components(found.select("node", "other"))
     labelled = nodes.select("node", "first_id", "n_copies").join(classes.join(links, "node"), "node", "left")

@@ -60,17 +60,25 @@ def bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
 
 
 @contextmanager
-def sorted_buckets(spark: SparkSession) -> Iterator[None]:
-    """Plans made inside rely on the order of buckets that are one file each, as ``bucketed`` writes them."""
-    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def _setting(spark: SparkSession, name: str, value: str, default: str) -> Iterator[None]:
+    before = spark.conf.get(name, default)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def sorted_buckets(spark: SparkSession):
+    """Plans made inside rely on the order of buckets that are one file each, as ``bucketed`` writes them."""
+    return _setting(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true", "false")
+
+
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Texts go to Python in batches of at most ``rows`` rows, as a batch is held in both processes."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows), "10000")
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that nothing refers to any more, through Hadoop so that any store works."""
     for table in tables:
