@@ -440,9 +440,9 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     spread_over = F.least(F.ceil(F.count(F.lit(1)) / spread), F.lit(SPREAD_BLOCKS))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES), spread_over, F.lit(1))
     grouped = groups.join(nodes.select("node", "size", "n_copies"), "node")
-    sizes = grouped.groupBy("label").agg(blocks.cast("int").alias("n_blocks"))
+    sizes = grouped.groupBy("label").agg(blocks.cast("int").alias("n_blocks"), F.count(F.lit(1)).alias("n_nodes"))
     placed = workspace.written(
-        grouped.join(sizes, "label").select("node", "label", "n_copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks").cast("long")).cast("int").alias("block")),
+        workspace.spread_join(grouped, sizes, "label", "n_nodes", groups.count(), F.xxhash64("node")).select("node", "label", "n_copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks").cast("long")).cast("int").alias("block")),
         "groups", codec="none"
     )
     wanted = placed.select("node")
@@ -482,9 +482,13 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     )
     labelled = workspace.written(labelled, "classes", codec="none")
     workspace.forget(nodes, groups, placed, found, classes)
-    ids = labelled.groupBy("class_node").agg(F.min("first_id").alias("class_id"))
-    per_node = labelled.join(ids, "class_node").select("node", "class_node", "class_id", "n_links", "n_texts", "n_copies")
-    return signed.select("doc_id", "t1", "t2", "node").join(per_node, "node").select(
+    n_nodes, n_rows = labelled.agg(F.count(F.lit(1)), F.sum("n_copies")).first()
+    ids = labelled.groupBy("class_node").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n_nodes"))
+    per_node = workspace.spread_join(labelled, ids, "class_node", "n_nodes", n_nodes, F.xxhash64("node"))
+    per_node = per_node.select("node", "class_node", "class_id", "n_links", "n_texts", "n_copies")
+    rows = signed.select("doc_id", "t1", "t2", "node")
+    # the place of a row in the written table, which is the same when a lost task runs again
+    return workspace.spread_join(rows, per_node, "node", "n_copies", n_rows or 0, F.monotonically_increasing_id()).select(
         "doc_id", "t1", "t2", "node", "class_node", "class_id", "n_links", "n_texts", "n_copies"
     )
 
@@ -501,7 +505,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "t1", "t2")
     keep = units.groupBy("class_node").agg(F.min(order).alias("k"), F.sum("n").alias("total")).filter(F.col("total") > 1)
     stays = F.col("k.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("k.t1") == F.col("t1")) & (F.col("k.t2") == F.col("t2"))
-    away = units.join(keep.select("class_node", "k"), "class_node").select(*key, stays.alias("stays"), "n").filter(~F.col("stays") | (F.col("n") > 1))
+    away = workspace.spread_join(units, keep, "class_node", "total", found.count(), F.xxhash64(*key)).select(*key, stays.alias("stays"), "n").filter(~F.col("stays") | (F.col("n") > 1))
     away = workspace.written(away, "away", codec="none")
     rows = docs.select(F.struct("*").alias("__doc"), *[c.alias(f"__{n}") for c, n in zip(text_identity(F.col("text")), key[1:])])
     here = F.col("__doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2"))

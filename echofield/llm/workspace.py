@@ -7,7 +7,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+#: A key is spread over several tasks where it has more rows than this, and more than this share of all rows.
+HOT_ROWS, MAX_HOT_KEYS = 1000, 100_000
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -79,6 +82,21 @@ def small_batches(spark: SparkSession, rows: int = 2000):
     return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows), "10000")
 
 
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int, by: Column) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, one row a key, whose column ``count`` tells the key's rows.
+
+    Keys of many rows are dealt by ``by`` over several tasks, with a copy of the key's row for each. Such a key has more
+    than 1/MAX_HOT_KEYS of the ``total`` rows, so the broadcast holds at most MAX_HOT_KEYS keys at any size.
+    """
+    limit = max(HOT_ROWS, total // MAX_HOT_KEYS)
+    parts = F.ceil(F.col(count) / limit)
+    hot = per_key.filter(F.col(count) > limit).select(key, parts.alias("__parts"))
+    dealt = rows.withColumn("__by", by).join(F.broadcast(hot), key, "left")
+    dealt = dealt.withColumn("__part", F.coalesce(F.pmod("__by", "__parts"), F.lit(0).cast("bigint"))).drop("__by", "__parts")
+    copies = per_key.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(copies, [key, "__part"]).drop("__part")
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that nothing refers to any more, through Hadoop so that any store works."""
     for table in tables:

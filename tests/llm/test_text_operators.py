@@ -510,6 +510,16 @@ def test_ngram_join(spark, small, block, spread):
     assert sorted(((r.doc_id, r.class_id, r.n_links, r.n_texts, r.n_copies) for r in got), key=str) == classes_by_hand(rows)
 
 
+def test_ngram_join_spreads_hot_keys(spark, monkeypatch):
+    """Keys of more than three rows are dealt over several tasks: the same result, each row once."""
+    monkeypatch.setattr(ngram_join.workspace, "HOT_ROWS", 3)
+    rows = list(enumerate(near_copies(12))) + [(100 + i // 2, "one text that many documents share") for i in range(40)] + [(None, "")] * 9 + [(200, "alone")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ngram_join.classify(df).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links, r.n_texts, r.n_copies) for r in got), key=str) == classes_by_hand(rows)
+    assert sorted((r.doc_id for r in ngram_join.keep_one(df).collect()), key=str) == [0, 100, 200, None]
+
+
 def test_ngram_join_odd(odd, empty):
     got = ngram_join.classify(odd).collect()
     assert sorted(((r.doc_id, r.class_id, r.n_links, r.n_texts, r.n_copies) for r in got), key=str) == classes_by_hand([(a, b) for a, b, _ in ODD])
