@@ -41,6 +41,15 @@ def partitioned(raw: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return raw.repartition(*keys)
 
 
+def in_order(rows: DataFrame, keys: tuple[str, ...], *order: str) -> DataFrame:
+    """Rows for a step in Python, with ``__place``: those of a key follow each other in one partition, sorted.
+
+    Numbering makes both a need of the plan. A plain repartition is none: Spark leaves it out where the sides of a join
+    or union are partitioned alike, and may then coalesce or split these sides each in its own way.
+    """
+    return rows.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 # --- transforms
 
 

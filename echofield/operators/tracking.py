@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.contracts import Allocation, Dbscan, Gating, Lifecycle, Scenery, require
 from .clustering import dbscan_labels, linear_sum_assignment
+from .cube import in_order
 
 TENTATIVE, CONFIRMED, COASTING = 0, 1, 2
 STATUS = ("tentative", "confirmed", "coasting")
@@ -337,8 +338,7 @@ def _tracked(rows: DataFrame, spec: TrackerSpec, run, capture: str, order: str)
             yield from tracked(held)
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    ordered = rows.repartition(capture).sortWithinPartitions(capture, "frame_id", order)
-    return ordered.mapInPandas(steps, f"{capture} {kinds[capture]}, frame_id {kinds['frame_id']}, {TRACK_FIELDS}")
+    return in_order(rows, (capture,), "frame_id", order).mapInPandas(steps, f"{capture} {kinds[capture]}, frame_id {kinds['frame_id']}, {TRACK_FIELDS}")
 
 
 def track_clusters(clusters: DataFrame, spec: TrackerSpec, capture: str = "capture_id") -> DataFrame:

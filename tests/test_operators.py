@@ -1,6 +1,8 @@
 """Known answers, computed by hand, and contradictions that must be refused."""
 
 import math
+import os
+import sys
 
 import numpy as np
 import pytest
@@ -9,12 +11,15 @@ from pyspark.sql import functions as F
 from echofield.operators import angle as A, clustering as K, cube as C, detection as D, dense as DN, intervals as I, packets as P, tracking as T, track_metrics as M, vitals as V
 from echofield.operators.adc import organize_adc_samples
 from echofield.operators.cartesian import sparsify_volume
-from echofield.plans import presets, runners
+from echofield.plans import presets, runners, track_queries
 from echofield.plans.contracts import (
     AdcFrame, Allocation, Box2D, Cfar1D, ContractError, Dbscan, DetectionRecipe, Fft, Gating, LAYOUTS, Lifecycle, PeakDetection, PeakGrouping,
     PlanarAperture, Projection, RadarCapture, RadarProfile, RangeDopplerCfar, RangeDopplerRecipe, Scenery, Sparsification, VirtualArray, with_changes,
 )
 
+sys.path.insert(0, os.path.dirname(__file__))
+from oracle import compare  # noqa: E402
+
 
 def frames(spark, *rows):
     return spark.createDataFrame([(i, list(r)) for i, r in enumerate(rows)], "capture_id bigint, samples array<smallint>")
@@ -334,6 +339,22 @@ def test_track_summary(spark):
         M.summarize_tracks(df.unionByName(df)).collect()
 
 
+@pytest.mark.parametrize("name", ["kalman_lifecycle_clusters"])
+def test_tracker_keeps_captures_whole(spark, name):
+    """Frames from a union whose sides are partitioned alike and coalesced apart."""
+    uneven = {
+        "autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.parallelismFirst": "false",
+        "adaptive.advisoryPartitionSizeInBytes": "6000", "adaptive.coalescePartitions.minPartitionSize": "100",
+    }
+    try:
+        for k, v in uneven.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        compare(spark, track_queries.QUERIES[name], track_queries.SQL[name])
+    finally:
+        for k in uneven:
+            spark.conf.unset(f"spark.sql.{k}")
+
+
 def test_tracker_streams_through_batches(spark):
     """A capture longer than an Arrow batch gives the same tracks as all its frames in one step."""
     rng = np.random.default_rng(7)
