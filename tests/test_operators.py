@@ -339,7 +339,7 @@ def test_track_summary(spark):
         M.summarize_tracks(df.unionByName(df)).collect()
 
 
-@pytest.mark.parametrize("name", ["kalman_lifecycle_clusters"])
+@pytest.mark.parametrize("name", ["kalman_lifecycle_clusters", "kalman_lifecycle_points"])
 def test_tracker_keeps_captures_whole(spark, name):
     """Frames from a union whose sides are partitioned alike and coalesced apart."""
     uneven = {
