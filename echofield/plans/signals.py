@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.adc import organize_adc_samples
 from ..operators.cube import Cube, partitioned
@@ -15,6 +15,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def exact_sum(name: str) -> Column:
+    """Sum of doubles that does not depend on the order of the rows: of their decimals, where these tell every value exactly."""
+    decimal = F.col(name).try_cast("decimal(38,18)")
+    told = F.count_if(decimal.cast("double") == F.col(name)) == F.count(name)
+    return F.coalesce(F.when(told, F.try_sum(decimal).cast("double")), F.sum(name))
+
+
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ADC frame of 64 words from each embedding."""
     word = F.transform("embedding", lambda x: F.floor(x.cast("double") * 4096 + 0.5).cast("smallint"))

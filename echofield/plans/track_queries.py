@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..operators import clustering as K, intervals as I, packets as P, track_metrics as M, tracking as T
 from .contracts import Box2D, Dbscan, Gating, Lifecycle, Scenery
-from .signals import r4, read, rounded
+from .signals import exact_sum, r4, read, rounded
 
 QUERIES, SQL = {}, {}
 
@@ -89,10 +89,12 @@ SCENERY = Scenery((Box2D(1.0, 4.0, 2.0, 8.0), Box2D(5.0, 9.0, 5.0, 20.0)))
 
 
 def tracks(spark, sf_dir):
+    """Means and sums are exact: a mean on the edge of a box, or half-way between two rounded numbers, is so in any order of the rows."""
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    total = exact_sum("value")
     return read(spark, sf_dir, "events").groupBy(day.alias("frame_id"), F.col("user_id").alias("track_id")).agg(
-        (F.avg("value") / 10).alias("px"), (F.max("value") / 10).alias("py"), (F.min("value") / 10).alias("pz"),
-        (F.sum("value") / 100).alias("vx"), (F.count(F.lit(1)) / 10.0).alias("vy"), F.lit(0.0).alias("vz"),
+        (total / F.nullif(F.count("value"), F.lit(0)) / 10).alias("px"), (F.max("value") / 10).alias("py"), (F.min("value") / 10).alias("pz"),
+        (total / 100).alias("vx"), (F.count(F.lit(1)) / 10.0).alias("vy"), F.lit(0.0).alias("vz"),
         F.when(F.count(F.lit(1)) >= 3, "confirmed").otherwise("tentative").alias("status"),
     )
 

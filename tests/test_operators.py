@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from echofield.operators import angle as A, clustering as K, cube as C, detection as D, dense as DN, intervals as I, packets as P, tracking as T, track_metrics as M, vitals as V
 from echofield.operators.adc import organize_adc_samples
 from echofield.operators.cartesian import sparsify_volume
-from echofield.plans import presets, runners, track_queries
+from echofield.plans import format_queries, presets, runners, track_queries
+from echofield.plans.signals import exact_sum
 from echofield.plans.contracts import (
     AdcFrame, Allocation, Box2D, Cfar1D, ContractError, Dbscan, DetectionRecipe, Fft, Gating, LAYOUTS, Lifecycle, PeakDetection, PeakGrouping,
     PlanarAperture, Projection, RadarCapture, RadarProfile, RangeDopplerCfar, RangeDopplerRecipe, Scenery, Sparsification, VirtualArray, with_changes,
@@ -339,6 +340,31 @@ def test_track_summary(spark):
         M.summarize_tracks(df.unionByName(df)).collect()
 
 
+def event_table(spark, path, values, days=1):
+    """A user's events, the same values each day, written in the given order."""
+    rows = [(d * len(values) + i, f"2024-01-{d + 1:02d} 00:00:{i:02d}", 7, "click", v, "{}") for d in range(days) for i, v in enumerate(values)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
+    events.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+EDGE = [60.1, 66.68, 19.74, 13.48]  # a mean of 40, px = 4.0 on the edge of a box; as doubles in the second order above it
+ORDERS = [(0, 1, 2, 3), (1, 3, 0, 2)]
+
+
+@pytest.mark.parametrize("order", ORDERS)
+def test_scenery_edge_in_any_order(spark, tmp_path, order):
+    sf_dir = event_table(spark, tmp_path, [EDGE[i] for i in order])
+    assert [tuple(r) for r in format_queries.QUERIES["scenery_filter"](spark, sf_dir).collect()] == [(0, 7)]
+
+
+@pytest.mark.parametrize("values,total", [([1e300, 1e300], 2e300), ([1e-30, 2e-30], 1e-30 + 2e-30), ([None, None], None), ([0.1, 0.2, None], 0.3), ([float("nan"), 1.0], float("nan"))])
+def test_exact_sum(spark, values, total):
+    """Values that no decimal tells are summed as they are."""
+    got = spark.createDataFrame([(v,) for v in values], "v double").agg(exact_sum("v")).first()[0]
+    assert got == total or (got != got and total != total)
+
+
 @pytest.mark.parametrize("name", ["kalman_lifecycle_clusters", "kalman_lifecycle_points"])
 def test_tracker_keeps_captures_whole(spark, name):
     """Frames from a union whose sides are partitioned alike and coalesced apart."""
