@@ -358,6 +358,13 @@ def test_scenery_edge_in_any_order(spark, tmp_path, order):
     assert [tuple(r) for r in format_queries.QUERIES["scenery_filter"](spark, sf_dir).collect()] == [(0, 7)]
 
 
+@pytest.mark.parametrize("order", ORDERS)
+def test_track_summary_in_any_order(spark, tmp_path, order):
+    sf_dir = event_table(spark, tmp_path, [EDGE[i] for i in order], days=3)
+    r = track_queries.QUERIES["summarize_tracks"](spark, sf_dir).first()
+    assert (r.observed_frames, r.in_scenery_frames, r.outside_scenery_frames, r.median_px) == (3, 3, 0, 4.0)
+
+
 @pytest.mark.parametrize("values,total", [([1e300, 1e300], 2e300), ([1e-30, 2e-30], 1e-30 + 2e-30), ([None, None], None), ([0.1, 0.2, None], 0.3), ([float("nan"), 1.0], float("nan"))])
 def test_exact_sum(spark, values, total):
     """Values that no decimal tells are summed as they are."""
