@@ -266,7 +266,7 @@ def sparsify_volume(
     """
     k = list(keys)
     # the one exchange: every window and aggregate below is within a frame
-    cells = _ranked(partitioned(volume, tuple(k)), k, shape, spec, velocity, suppressed)
+    cells = _ranked(partitioned(volume, tuple(k), fixed=True), k, shape, spec, velocity, suppressed)
     frame = Window.partitionBy(*k)
     positive = F.col("seen") > 0
     peak = positive & F.col("valid") & F.col("doppler_peak") & F.col("spatial_peak")

@@ -36,9 +36,13 @@ class Cube:
         return [*self.keys, *self.shape, "re", "im"]
 
 
-def partitioned(raw: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """All rows of a key in one partition, the one exchange of a chain; moved before frames are expanded."""
-    return raw.repartition(*keys)
+def partitioned(raw: DataFrame, keys: tuple[str, ...], fixed: bool = False) -> DataFrame:
+    """All rows of a key in one partition, the one exchange of a chain; moved before frames are expanded.
+
+    ``fixed`` keeps all shuffle partitions: adaptive execution joins them by the bytes moved, which tell little of what
+    a chain of many sorts holds.
+    """
+    return raw.repartition(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if fixed else raw.repartition(*keys)
 
 
 def in_order(rows: DataFrame, keys: tuple[str, ...], *order: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from echofield.operators import angle as A, clustering as K, cube as C, detection as D, dense as DN, intervals as I, packets as P, tracking as T, track_metrics as M, vitals as V
 from echofield.operators.adc import organize_adc_samples
 from echofield.operators.cartesian import sparsify_volume
-from echofield.plans import format_queries, presets, runners, track_queries
+from echofield.plans import format_queries, presets, runners, track_queries, volume_queries
 from echofield.plans.signals import exact_sum
 from echofield.plans.contracts import (
     AdcFrame, Allocation, Box2D, Cfar1D, ContractError, Dbscan, DetectionRecipe, Fft, Gating, LAYOUTS, Lifecycle, PeakDetection, PeakGrouping,
@@ -19,7 +19,7 @@ from echofield.plans.contracts import (
 )
 
 sys.path.insert(0, os.path.dirname(__file__))
-from oracle import compare  # noqa: E402
+from oracle import SMALL, compare  # noqa: E402
 
 
 def frames(spark, *rows):
@@ -340,6 +340,13 @@ def test_track_summary(spark):
         M.summarize_tracks(df.unionByName(df)).collect()
 
 
+def test_sparsification_keeps_its_partitions(spark):
+    """A task's memory is bounded by the number of shuffle partitions, not by the bytes that adaptive execution joins."""
+    points, counters = volume_queries.sparse(spark, SMALL)
+    assert points.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    assert counters.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
 def event_table(spark, path, values, days=1):
     """A user's events, the same values each day, written in the given order."""
     rows = [(d * len(values) + i, f"2024-01-{d + 1:02d} 00:00:{i:02d}", 7, "click", v, "{}") for d in range(days) for i, v in enumerate(values)]
