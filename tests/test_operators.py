@@ -347,6 +347,16 @@ def test_sparsification_keeps_its_partitions(spark):
     assert counters.select(F.spark_partition_id().alias("p")).distinct().count() == 4
 
 
+def test_causal_stream_ends_after_its_data(spark, tmp_path, monkeypatch):
+    """One batch holds the whole finite stream; its pairs are those of the batch join."""
+    monkeypatch.setattr(format_queries, "shared_dir", lambda *_: f"file://{tmp_path}/causal")
+    usual = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    got = sorted(map(tuple, format_queries.QUERIES["causal_pairs_stream"](spark, SMALL).collect()))
+    assert got == sorted(map(tuple, track_queries.QUERIES["causal_pairs"](spark, SMALL).collect()))
+    assert [f for f in os.listdir(tmp_path / "causal/ck/commits") if not f.startswith(".")] == ["0"]
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == usual
+
+
 def event_table(spark, path, values, days=1):
     """A user's events, the same values each day, written in the given order."""
     rows = [(d * len(values) + i, f"2024-01-{d + 1:02d} 00:00:{i:02d}", 7, "click", v, "{}") for d in range(days) for i, v in enumerate(values)]
