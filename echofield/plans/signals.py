@@ -109,6 +109,20 @@ def r4(name: str, digits: int = 4) -> str:
     return f"round(({name})::DOUBLE, {digits}) + 0.0 AS {name.split('.')[-1]}"
 
 
+def sql_round(x: Column, digits: int) -> Column:
+    """``round`` of a double as DuckDB does it: the nearest whole number of units of the scaled double, halves away from zero.
+
+    Spark rounds the shortest decimal of a double instead, which falls on the other side where that decimal is half-way
+    and the scaled double is not, or the other way round.
+    """
+    unit = float(10**digits)
+    scaled = F.abs(x) * unit
+    whole = F.floor(scaled)
+    near = whole + F.when(scaled - whole >= 0.5, 1).otherwise(0)
+    # doubles from 2^52 on are whole, and those that overflow stay as they are
+    return F.when(scaled < 2.0**52, F.signum(x) * (near / unit)).when(scaled == float("inf"), x).otherwise(F.signum(x) * (scaled / unit))
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
     """Rounds columns and turns -0 into 0, for comparison with another engine."""
-    return df.withColumns({n: F.round(F.col(n).cast("double"), digits) + 0.0 for n in names})
+    return df.withColumns({n: sql_round(F.col(n).cast("double"), digits) + 0.0 for n in names})

@@ -4,6 +4,7 @@ import math
 import os
 import sys
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from echofield.operators import angle as A, clustering as K, cube as C, detectio
 from echofield.operators.adc import organize_adc_samples
 from echofield.operators.cartesian import sparsify_volume
 from echofield.plans import format_queries, presets, runners, track_queries, volume_queries
-from echofield.plans.signals import exact_sum
+from echofield.plans.signals import exact_sum, sql_round
 from echofield.plans.contracts import (
     AdcFrame, Allocation, Box2D, Cfar1D, ContractError, Dbscan, DetectionRecipe, Fft, Gating, LAYOUTS, Lifecycle, PeakDetection, PeakGrouping,
     PlanarAperture, Projection, RadarCapture, RadarProfile, RangeDopplerCfar, RangeDopplerRecipe, Scenery, Sparsification, VirtualArray, with_changes,
@@ -382,6 +383,22 @@ def test_track_summary_in_any_order(spark, tmp_path, order):
     assert (r.observed_frames, r.in_scenery_frames, r.outside_scenery_frames, r.median_px) == (3, 3, 0, 4.0)
 
 
+def test_track_summary_rounds_as_its_sql(spark, tmp_path):
+    """A mean half-way between two rounded numbers: 1.17 over 16 events, px = 0.0073125; its sum is the same in any order."""
+    sf_dir = event_table(spark, tmp_path, [1.17] + [0.0] * 15)
+    got = track_queries.QUERIES["summarize_tracks"](spark, sf_dir).select("first_px", "median_px").first()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet/*.parquet'")
+    want = con.sql(f"SELECT first_px, median_px FROM ({track_queries.SQL['summarize_tracks']})").fetchall()
+    assert want == [(0.007313, 0.007313)] and tuple(got) == want[0]
+
+
+def test_rounding_follows_sql(spark):
+    values = [1.245e-4, 0.0073125 - 1e-18, -0.0253125 + 4e-18, 0.49999999999999994e-6, 2.5e-6, -1e17, 1e300, 1e305, float("inf"), float("nan"), -0.0, None]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", sql_round(F.col("v"), 6)).orderBy("i").collect()
+    assert [repr(r[1]) for r in got] == [repr(duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0]) for v in values]
+
+
 @pytest.mark.parametrize("values,total", [([1e300, 1e300], 2e300), ([1e-30, 2e-30], 1e-30 + 2e-30), ([None, None], None), ([0.1, 0.2, None], 0.3), ([float("nan"), 1.0], float("nan"))])
 def test_exact_sum(spark, values, total):
     """Values that no decimal tells are summed as they are."""
