@@ -222,13 +222,16 @@ SELECT capture_id, frame_id::BIGINT AS frame_id, track_id::BIGINT AS track_id, {
 
 
 def _pairs(spark, sf_dir, name: str):
-    """(capture_id, frame_id, name, x, y, z): an observation in frames 0 and 1, none in frame 2."""
+    """(capture_id, frame_id, name, x, y, z): an observation in frames 0 and 1, none in frame 2.
+
+    One grouping makes all three frames, so a capture is whole by its own exchange and not by that of the sides of a join or union.
+    """
     v = lambda i: F.col("embedding")[i].cast("double")
-    e = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("capture_id"), (F.col("vec_id") % 2).alias("frame_id"), v(0).alias("x"), v(1).alias("y"), v(2).alias("z"))
-    both = e.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("capture_id")
-    seen = e.join(both, "capture_id").withColumn(name, F.lit(0).cast("bigint"))
-    none = both.select("capture_id", F.lit(2).cast("bigint").alias("frame_id"), *[F.lit(None).cast("double").alias(c) for c in "xyz"], F.lit(None).cast("bigint").alias(name))
-    return seen.unionByName(none)
+    e = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("capture_id"), F.struct((F.col("vec_id") % 2).alias("frame_id"), v(0).alias("x"), v(1).alias("y"), v(2).alias("z")).alias("seen"))
+    none = F.struct(F.lit(2).cast("bigint").alias("frame_id"), *[F.lit(None).cast("double").alias(c) for c in "xyz"])
+    both = e.filter("capture_id IS NOT NULL").groupBy("capture_id").agg(F.collect_list("seen").alias("seen")).filter(F.size("seen") == 2)
+    frames = both.select("capture_id", F.explode(F.concat("seen", F.array(none))).alias("f")).select("capture_id", "f.*")
+    return frames.withColumn(name, F.when(F.col("frame_id") < 2, 0).cast("bigint"))
 
 
 def paired_clusters(spark, sf_dir):
